@@ -40,16 +40,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string; for the driver, executors get the result."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 512) -> DataFrame:
     """Arrow kernel: ``make()`` runs once a task and gives a function from a batch to columns of ``schema``.
 
     Batches are cut to ``rows`` rows so that outputs stay small whatever the reader's batch size is.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    struct = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    arrow = to_arrow_schema(struct)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
@@ -59,7 +63,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((columns[f.name], f) for f in arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column | str) -> Column:

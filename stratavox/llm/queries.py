@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, quality
+from . import media, mixing, quality, warc
 from .common import read_table
 
 
@@ -15,6 +15,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(read_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the target weights of their sources."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the chain's verdict for every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -22,12 +27,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record to seekable bundles and read back from them."""
+    return warc.read_bundles(warc.archive(read_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op5_mix_sources": op5_mix_sources,
         "op6_quality_rules": op6_quality_rules,
+        "op9_warc_bundles": op9_warc_bundles,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_mix_sources": mixing.mix_sql(),
+        "op9_warc_bundles": warc.warc_sql(),
+    }
