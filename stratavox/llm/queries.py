@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, quality, warc
+from . import media, mixing, packing, quality, warc
 from .common import read_table
 
 
@@ -27,6 +27,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model)
 
 
+def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces packed into sequences of 2048."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record to seekable bundles and read back from them."""
     return warc.read_bundles(warc.archive(read_table(spark, sf_dir, "pages")))
@@ -37,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op5_mix_sources": op5_mix_sources,
         "op6_quality_rules": op6_quality_rules,
+        "op7_pack_sequences": op7_pack_sequences,
         "op9_warc_bundles": op9_warc_bundles,
     }
 
