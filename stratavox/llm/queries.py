@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality, warc
+from . import media, mixing, packing, quality, substrings, warc
 from .common import read_table
 
 
@@ -15,6 +15,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(read_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the 20-word windows that occur earlier."""
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the target weights of their sources."""
     return mixing.mix(read_table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_quality_rules": op6_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_substring_dedup": substrings.repeats_sql(),
         "op5_mix_sources": mixing.mix_sql(),
         "op9_warc_bundles": warc.warc_sql(),
     }
