@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, quality, substrings, warc
+from . import media, mixing, neardup, packing, quality, substrings, warc
 from .common import read_table
 
 
@@ -42,6 +42,11 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(warc.archive(read_table(spark, sf_dir, "pages")))
 
 
+def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents on 4-word shingles."""
+    return neardup.near_groups(read_table(spark, sf_dir, "documents"), width=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
         "op9_warc_bundles": op9_warc_bundles,
+        "op10_minhash_groups": op10_minhash_groups,
     }
 
 
@@ -58,4 +64,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": substrings.repeats_sql(),
         "op5_mix_sources": mixing.mix_sql(),
         "op9_warc_bundles": warc.warc_sql(),
+        "op10_minhash_groups": neardup.groups_sql(),
     }
