@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, neardup, packing, quality, substrings, warc
+from . import langid, media, mixing, neardup, packing, quality, substrings, warc
 from .common import read_table
 
 
@@ -15,6 +15,12 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_media(read_table(spark, sf_dir, "documents"), keep_bytes=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, family first."""
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.sample_and_fit(docs))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the 20-word windows that occur earlier."""
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -50,6 +56,7 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": op2_media_columns,
+        "op3_language_id": op3_language_id,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op6_quality_rules": op6_quality_rules,
