@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, neardup, packing, quality, substrings, warc
+from . import langid, media, mixing, neardup, packing, quality, substrings, toxicity, warc
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents as stored NPY tiles, with what is read back from them."""
     return media.store_media(read_table(spark, sf_dir, "documents"), keep_bytes=False)
@@ -55,6 +62,7 @@ def op10_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_media_columns": op2_media_columns,
         "op3_language_id": op3_language_id,
         "op4_substring_dedup": op4_substring_dedup,
