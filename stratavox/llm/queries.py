@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, media, mixing, neardup, packing, quality, substrings, toxicity, warc
+from . import langid, media, mixing, neardup, packing, pii, quality, substrings, toxicity, warc
 from .common import read_table
 
 
@@ -50,6 +50,11 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with format-preserving pseudonyms for its personal values."""
+    return pii.pseudonymise_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record to seekable bundles and read back from them."""
     return warc.read_bundles(warc.archive(read_table(spark, sf_dir, "pages")))
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_quality_rules": op6_quality_rules,
         "op7_pack_sequences": op7_pack_sequences,
+        "op8_pseudonyms": op8_pseudonyms,
         "op9_warc_bundles": op9_warc_bundles,
         "op10_minhash_groups": op10_minhash_groups,
     }
