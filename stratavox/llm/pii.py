@@ -35,6 +35,8 @@ PATTERNS = {
     "card": r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What any of them holds; texts without it are passed over.
+SCREEN = r"[0-9][0-9 -]|[0-9]\.[0-9]{1,3}\.[0-9]|@|[=:]|A[KS]IA"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -107,10 +109,6 @@ def _refilled(s: Column, digits: Column) -> Column:
     return F.array_join(F.transform(_characters(s), one), "")
 
 
-def _padded(x: Column, n: Column) -> Column:
-    return F.expr("''") if n is None else F.lpad(x.cast("string"), n, F.lit("0"))
-
-
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum modulo 10 of a digit string, its last digit being the check digit."""
     n = F.length(digits)
@@ -232,21 +230,30 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
     return out
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def pseudonymise(text: Column, key: str = DEFAULT_KEY) -> Column:
     """Struct (text, n_values): the text with its values replaced, and how many were."""
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
-    between = F.split(text, ANY, -1)
-    pieces = F.zip_with(between, new, lambda g, v: F.concat(F.coalesce(g, F.lit("")), F.coalesce(v["new"], F.lit(""))))
-    count = F.size(F.filter(new, lambda v: v["old"] != v["new"]))
-    both = F.struct(F.array_join(pieces, "").alias("text"), count.cast("bigint").alias("n_values"))
-    return F.when(F.size(found) > 0, both).otherwise(F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_values")))
+
+    def replaced(found: Column) -> Column:
+        return _let(F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))), joined)
+
+    def joined(new: Column) -> Column:
+        pieces = F.zip_with(F.split(text, ANY, -1), new, lambda g, v: F.concat(F.coalesce(g, F.lit("")), F.coalesce(v["new"], F.lit(""))))
+        count = F.size(F.filter(new, lambda v: v["old"] != v["new"]))
+        return F.struct(F.array_join(pieces, "").alias("text"), count.cast("bigint").alias("n_values"))
+
+    as_is = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("n_values"))
+    return F.when(text.rlike(SCREEN), _let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), replaced)).otherwise(as_is)
 
 
 def pseudonymise_texts(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """Per row: doc_id, text with pseudonyms and n_values."""
-    done = docs.select("doc_id", pseudonymise(F.col("text"), key).alias("done"))
-    return done.select("doc_id", "done.text", "done.n_values")
+    done = docs.select("doc_id", F.inline(F.array(pseudonymise(F.col("text"), key))))
+    return done.select("doc_id", "text", "n_values")
 
 
 def pseudonymise_column(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
