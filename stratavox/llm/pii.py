@@ -40,6 +40,11 @@ SCREEN = r"[0-9][0-9 -]|[0-9]\.[0-9]{1,3}\.[0-9]|@|[=:]|A[KS]IA"
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
+def _let(x: Column, body) -> Column:
+    """``body(x)`` with ``x`` evaluated once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _hash(key: str, kind: str, i: Column, half: Column, block: Column | None = None) -> Column:
     parts = [F.lit(f"{key}|{kind}|"), i.cast("string"), F.lit("|"), half.cast("string")]
     if block is not None:
@@ -51,8 +56,8 @@ def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("bigint")
 
 
-def feistel_pair(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: str) -> Column:
-    """Struct (a, b): a permutation of the pairs below (size_a, size_b)."""
+def feistel_pair(a: Column, b: Column, size_a: Column, size_b: Column, kind: str, key: str, body) -> Column:
+    """``body`` of the struct (a, b): a permutation of the pairs below (size_a, size_b)."""
 
     def step(s: Column, i: Column) -> Column:
         x, y = s["a"], s["b"]
@@ -60,10 +65,11 @@ def feistel_pair(a: Column, b: Column, size_a: Column, size_b: Column, kind: str
         new_y = (y + _number(F.substring(_hash(key, kind, i, x), 1, 13))) % size_b
         return F.when(i % 2 == 0, F.struct(new_x.alias("a"), y.alias("b"))).otherwise(F.struct(x.alias("a"), new_y.alias("b")))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), step)
+    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b")), step), body)
 
 
 def _characters(s: Column) -> Column:
+    """The characters of ``s``, which should be a bound value: it is evaluated for each of them."""
     return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda j: F.substr(s, j, F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -89,10 +95,12 @@ def feistel_string(s: Column, kind: str, key: str, alphabets: tuple[str, ...] =
         x, y = t["a"], t["b"]
         return F.when(i % 2 == 0, F.struct(added(x, y, i).alias("a"), y.alias("b"))).otherwise(F.struct(x.alias("a"), added(y, x, i).alias("b")))
 
-    half = F.floor(F.length(s) / 2).cast("int")
-    start = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1, F.length(s)).alias("b"))
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    return F.concat(done["a"], done["b"])
+    def whole(s: Column) -> Column:
+        half = F.floor(F.length(s) / 2).cast("int")
+        start = F.struct(F.substr(s, F.lit(1), half).alias("a"), F.substr(s, half + 1, F.length(s)).alias("b"))
+        return _let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda t: F.concat(t["a"], t["b"]))
+
+    return _let(s, whole)
 
 
 def _digits(s: Column) -> Column:
@@ -102,23 +110,30 @@ def _digits(s: Column) -> Column:
 def _refilled(s: Column, digits: Column) -> Column:
     """``s`` with its digits replaced by ``digits``, in order."""
 
-    def one(c: Column, j: Column) -> Column:
-        at = F.length(_digits(F.substr(s, F.lit(1), (j + 1).cast("int"))))
-        return F.when(c.between("0", "9"), F.substr(digits, at, F.lit(1))).otherwise(c)
+    def whole(digits: Column) -> Column:
+        def one(c: Column, j: Column) -> Column:
+            at = F.length(_digits(F.substr(s, F.lit(1), (j + 1).cast("int"))))
+            return F.when(c.between("0", "9"), F.substr(digits, at, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(_characters(s), one), "")
 
-    return F.array_join(F.transform(_characters(s), one), "")
+    return _let(digits, whole)
 
 
 def luhn_sum(digits: Column) -> Column:
     """Luhn sum modulo 10 of a digit string, its last digit being the check digit."""
-    n = F.length(digits)
 
-    def one(total: Column, j: Column) -> Column:
-        d = F.substr(digits, j, F.lit(1)).cast("int")
-        twice = F.when((n - j) % 2 == 1, d * 2).otherwise(d)
-        return total + F.when(twice > 9, twice - 9).otherwise(twice)
+    def whole(digits: Column) -> Column:
+        n = F.length(digits)
+
+        def one(total: Column, j: Column) -> Column:
+            d = F.substr(digits, j, F.lit(1)).cast("int")
+            twice = F.when((n - j) % 2 == 1, d * 2).otherwise(d)
+            return total + F.when(twice > 9, twice - 9).otherwise(twice)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), one) % 10
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), one) % 10
+
+    return _let(digits, whole)
 
 
 def _power(n: Column) -> Column:
@@ -126,44 +141,52 @@ def _power(n: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    n = F.length(digits) - 1
-    u = F.floor(n / 2).cast("int")
-    got = feistel_pair(F.substr(digits, F.lit(1), u).cast("bigint"), F.substr(digits, u + 1, n - u).cast("bigint"), _power(u), _power(n - u), "card", key)
-    new = F.concat(F.lpad(got["a"].cast("string"), u, F.lit("0")), F.lpad(got["b"].cast("string"), n - u, F.lit("0")))
-    check = (10 - luhn_sum(F.concat(new, F.lit("0")))) % 10
-    return F.when(luhn_sum(digits) == 0, _refilled(m, F.concat(new, check.cast("string")))).otherwise(m)
+    def valid(digits: Column) -> Column:
+        n = F.length(digits) - 1
+        u = F.floor(n / 2).cast("int")
+
+        def joined(t: Column) -> Column:
+            return F.concat(F.lpad(t["a"].cast("string"), u, F.lit("0")), F.lpad(t["b"].cast("string"), n - u, F.lit("0")))
+
+        new = feistel_pair(F.substr(digits, F.lit(1), u).cast("bigint"), F.substr(digits, u + 1, n - u).cast("bigint"), _power(u), _power(n - u), "card", key, joined)
+        checked = _let(new, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0")))) % 10).cast("string")))
+        return F.when(luhn_sum(digits) == 0, _refilled(m, checked)).otherwise(m)
+
+    return _let(_digits(m), valid)
 
 
 def _phone(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    own = F.substr(digits, F.length(digits) - 9, F.lit(10))
-    area, rest = F.substr(own, F.lit(1), F.lit(3)).cast("bigint"), F.substr(own, F.lit(4), F.lit(7)).cast("bigint")
-    got = feistel_pair(area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000), "phone", key)
-    new = F.concat((got["a"] + 200).cast("string"), (got["b"] + 2_000_000).cast("string"))
-    whole = F.concat(F.substr(digits, F.lit(1), F.length(digits) - 10), new)
-    return F.when((area >= 200) & (rest >= 2_000_000), _refilled(m, whole)).otherwise(m)
+    def valid(digits: Column) -> Column:
+        area = F.substr(digits, F.length(digits) - 9, F.lit(3)).cast("bigint")
+        rest = F.substr(digits, F.length(digits) - 6, F.lit(7)).cast("bigint")
+        country = F.substr(digits, F.lit(1), F.length(digits) - 10)
+        joined = lambda t: F.concat(country, (t["a"] + 200).cast("string"), (t["b"] + 2_000_000).cast("string"))
+        new = feistel_pair(area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000), "phone", key, joined)
+        return F.when((area >= 200) & (rest >= 2_000_000), _refilled(m, new)).otherwise(m)
+
+    return _let(_digits(m), valid)
 
 
 def _phone_plus(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    new = F.concat(F.substr(digits, F.lit(1), F.lit(2)), feistel_string(F.substr(digits, F.lit(3), F.length(digits)), "phone_plus", key))
-    return _refilled(m, new)
+    return _let(_digits(m), lambda d: _refilled(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), feistel_string(F.substr(d, F.lit(3), F.length(d)), "phone_plus", key))))
 
 
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substr(m, F.lit(at), F.lit(n)).cast("bigint") for at, n in ((1, 3), (5, 2), (8, 4)))
-    got = feistel_pair(F.when(area < 666, area - 1).otherwise(area - 2), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), "ssn", key)
     pad = lambda x, n: F.lpad(x.cast("string"), F.lit(n), F.lit("0"))
-    place = F.when(got["a"] < 665, got["a"] + 1).otherwise(got["a"] + 2)
-    new = F.concat_ws("-", pad(place, 3), pad(F.floor(got["b"] / 9999) + 1, 2), pad(got["b"] % 9999 + 1, 4))
+
+    def joined(t: Column) -> Column:
+        place = F.when(t["a"] < 665, t["a"] + 1).otherwise(t["a"] + 2)
+        return F.concat_ws("-", pad(place, 3), pad(F.floor(t["b"] / 9999) + 1, 2), pad(t["b"] % 9999 + 1, 4))
+
+    new = feistel_pair(F.when(area < 666, area - 1).otherwise(area - 2), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), "ssn", key, joined)
     return F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), new).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
     o = [F.element_at(F.split(m, r"\."), i).cast("bigint") for i in (1, 2, 3, 4)]
-    got = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), "ip", key)
-    new = F.concat_ws(".", *(x.cast("string") for x in (F.floor(got["a"] / 256), got["a"] % 256, F.floor(got["b"] / 256), got["b"] % 256)))
+    joined = lambda t: F.concat_ws(".", *(x.cast("string") for x in (F.floor(t["a"] / 256), t["a"] % 256, F.floor(t["b"] / 256), t["b"] % 256)))
+    new = feistel_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), "ip", key, joined)
     return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), new).otherwise(m)
 
 
@@ -174,9 +197,9 @@ def _date(m: Column, key: str) -> Column:
     def permuted(layout: str) -> tuple[Column, Column]:
         day = F.try_to_timestamp(m, F.lit(layout)).cast("date")
         n = F.datediff(day, first).cast("bigint")
-        got = feistel_pair(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), "date", key)
         valid = F.coalesce((n >= 0) & (n < 189 * 773), F.lit(False))
-        return valid, F.date_format(F.date_add(first, (got["a"] * 773 + got["b"]).cast("int")), layout)
+        moved = lambda t: F.date_format(F.date_add(first, (t["a"] * 773 + t["b"]).cast("int")), layout)
+        return valid, feistel_pair(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), "date", key, moved)
 
     out = m
     for shape, layout in ((r"/", "dd/MM/yyyy"), (r"/", "MM/dd/yyyy"), (r"\.", "dd.MM.yyyy"), (r"^[0-9]{4}-", "yyyy-MM-dd")):
@@ -190,14 +213,14 @@ def _mod97(s: Column) -> Column:
         v = F.instr(F.lit(DIGITS + UPPER), c) - 1
         return (total * F.when(v > 9, 100).otherwise(10) + v) % 97
 
-    return F.aggregate(_characters(s), F.lit(0), one)
+    return _let(s, lambda x: F.aggregate(_characters(x), F.lit(0), one))
 
 
 def _iban(m: Column, key: str) -> Column:
     country, account = F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(5), F.length(m))
-    new = feistel_string(account, "iban", key)
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), F.lit(2), F.lit("0"))
-    return F.when(_mod97(F.concat(account, F.substr(m, F.lit(1), F.lit(4)))) == 1, F.concat(country, check, new)).otherwise(m)
+    check = lambda x: F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), F.lit(2), F.lit("0"))
+    new = _let(feistel_string(account, "iban", key), lambda x: F.concat(country, check(x), x))
+    return F.when(_mod97(F.concat(account, F.substr(m, F.lit(1), F.lit(4)))) == 1, new).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -230,11 +253,6 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
     return out
 
 
-def _let(x: Column, body) -> Column:
-    """``body(x)`` with ``x`` evaluated once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(x), body), 1)
-
-
 def pseudonymise(text: Column, key: str = DEFAULT_KEY) -> Column:
     """Struct (text, n_values): the text with its values replaced, and how many were."""
 
