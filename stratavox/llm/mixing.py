@@ -44,7 +44,12 @@ def point(i: Column) -> Column:
     return x - F.floor(x)
 
 
-def sized_rows(docs: DataFrame, bucket_rows: int) -> DataFrame:
+def row_key() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull())
+
+
+def sized_rows(docs: DataFrame, bucket_rows: int, keyed: bool) -> DataFrame:
     """doc_id, source key, size, hash order and bucket of every row, stored once."""
     rows = stored(
         docs.select(
@@ -53,6 +58,7 @@ def sized_rows(docs: DataFrame, bucket_rows: int) -> DataFrame:
             F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string"))).alias("skey"),
             F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
             hash_order(F.col("doc_id")).alias("h"),
+            (row_key() if keyed else F.lit(0).cast("bigint")).alias("key"),
         ),
         "mix-rows",
     )
@@ -120,16 +126,19 @@ def schedule(quota: DataFrame, block_tokens: int) -> DataFrame:
     return out.select("slot", "skey", "epoch", "block", cut.alias("cut"))
 
 
-def mix(docs: DataFrame, block_tokens: int = 1024, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), bucket_rows: int = 4096) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
-    rows = sized_rows(docs, bucket_rows)
+def mix(docs: DataFrame, block_tokens: int = 1024, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), bucket_rows: int = 4096, keyed: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, size, source_size, target and taken (words the mix takes, repeats counted).
+
+    With ``keyed`` there is ``key`` too, which tells rows of one doc_id apart.
+    """
+    rows = sized_rows(docs, bucket_rows, keyed)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").cast("bigint").alias("bucket_size"))
     targets = source_targets(sums, max_epochs, weights)
     quota = quotas(targets, block_tokens)
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
     starts = starts.join(targets, "skey").select("skey", "bucket", "before", "source_size", "target")
-    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "key")
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rn", F.row_number().over(within))
     placed = placed.join(starts, ["skey", "bucket"]).withColumn("start", F.col("before") + F.col("inner"))
     # a document's pieces in the blocks of its source
@@ -141,9 +150,28 @@ def mix(docs: DataFrame, block_tokens: int = 1024, max_epochs: int = 3, weights:
     part = F.coalesce(F.col("times"), F.lit(0)) * (F.col("to") - F.col("from")) + F.greatest(F.lit(0), F.least(F.col("to"), F.coalesce("cut", F.lit(0))) - F.col("from"))
     part = F.when(F.col("block") < 0, F.lit(0)).otherwise(part)
     out = got.groupBy("skey", "bucket", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(part).cast("bigint").alias("taken")
+        F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum(part).cast("bigint").alias("taken")
     )
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", *(["key"] if keyed else []), "size", "source_size", "target", "taken")
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The mixed corpus, columns of ``docs``: whole copies of each row, and of what is left the first words.
+
+    A cut copy has its words joined by one space and, where there is ``n_chars``, its own count.
+    """
+    plan = mix(docs, keyed=True, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    nth = Window.partitionBy("__id", "__key")
+    plan = plan.withColumn("__nth", F.row_number().over(nth.orderBy(F.desc("__taken"))))
+    rows = docs.withColumn("__own", row_key())
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy("__own")))
+    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")) & (F.col("__n") == F.col("__nth")))
+    copies = F.expr("transform(sequence(0L, (__taken - 1) div __size), i -> least(__size, __taken - i * __size))")
+    rows = rows.withColumn("__words", F.explode(copies))
+    cut = F.col("__words") < F.col("__size")
+    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " ")).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(cut, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
 
 def mix_sql(max_epochs: int = 3) -> str:
