@@ -1,11 +1,14 @@
-"""Registry of the named queries and their SQL twins."""
+"""All named queries and their SQL twins."""
 
 from __future__ import annotations
 
+from . import regions, scalars, summaries  # noqa: F401  register their queries
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
