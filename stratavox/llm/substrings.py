@@ -4,15 +4,17 @@ A window is ``window`` consecutive words.  With the cover {0, 1, 3, 9} modulo 13
 two equal windows of 20 words leaves a position in both that lies on the cover, and the 8 words from
 there are inside both windows.  So only 8-word anchors at cover positions are hashed (4 of 13): first
 the anchors that occur twice are found, then windows around them are extended to 20 words, hashed
-with 96 bits, and each one that has an earlier occurrence is removed.
+with 80 bits and those of the part, and each one that has an earlier occurrence is removed.
 
-Hashes that repeat inside a batch are settled there and one of them stands for the batch, so a passage
-in a third of all documents puts one row a batch, not one a document, into a task.
+Hashes travel in packed blocks, one for each part of the hash space and task.  Hashes that repeat
+inside a task are settled there and one of them stands for the task, so a passage in a third of all
+documents puts one entry a task, not one a document, into a part.
 
 Edge cases, all defined: a null or empty text has no words and keeps the empty text; texts of any
 length are read whole; a null doc_id counts as the smallest; rows with equal doc_id and text are one
 occurrence, so neither goes for the other's sake, and rows with equal doc_id and other texts are
-compared by position; an empty table gives an empty result; other columns are not read.
+compared by position (told apart by 16 bits
+of their texts' hashes); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
@@ -30,7 +32,11 @@ from .common import map_batches
 #: The perfect difference set of order 3: its differences give every residue modulo 13.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-S31, S29 = np.uint64(31), np.uint64(29)
+S29 = np.uint64(29)
+#: Bytes of text a part of the hash space stands for: about 1.3 million anchors, 60 MB while it is searched.
+PART_BYTES = 24 << 20
+#: Stands for a null doc_id: the smallest number.
+NO_ID = -(1 << 63)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -62,70 +68,172 @@ def cover_positions(n_words: int, window: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def _unsigned_to_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def _split_batch(key: np.ndarray, order: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first row of each key in the given order, that index for every row)."""
-    by = np.lexsort((*order[::-1], key))
-    start = np.ones(len(key), bool)
-    start[1:] = key[by][1:] != key[by][:-1]
-    first = by[start]
-    of = np.empty(len(key), np.int64)
-    of[by] = first[np.cumsum(start) - 1]
-    return first, of
-
-
-def anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(key, rid, pos) of anchors; pos < 0 stands for -1 - pos of an anchor known to repeat in its batch."""
+class _Blocks:
+    """Keys of a task's windows, dealt into packed blocks by part; repeats inside the task are settled.
+
+    A block holds texts (did, tag, number of keys) and per key the position, ``width`` bytes of hash.
+    One occurrence of each key, the first, stands for the task; rows with ``part`` < 0 hold positions
+    that need no further search: in ``all_repeats`` mode every occurrence of a repeated key, else every
+    one but the first.
+    """
+
+    def __init__(self, parts: int, width: int, all_repeats: bool, full: int = 1 << 21):
+        self.parts, self.width, self.all_repeats, self.full = parts, width, all_repeats, full
+        self.texts: list[tuple[int, int]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, did: int, tag: int, pos: np.ndarray, key: np.ndarray, check: np.ndarray) -> bool:
+        self.held.append((np.full(len(pos), len(self.texts), np.int64), pos.astype(np.int64), key, check))
+        self.texts.append((did, tag))
+        self.n += len(pos)
+        return self.n >= self.full
+
+    def _rows(self, part: np.ndarray, text: np.ndarray, pos: np.ndarray, raw: np.ndarray | None) -> pa.RecordBatch:
+        """Rows of one block each; the arrays are in order of part, then text."""
+        did, tag = (np.array(x, kind) for x, kind in zip(zip(*self.texts), (np.int64, np.int32)))
+        cols: dict[str, list] = {f.name: [] for f in BLOCK}
+        edges = np.flatnonzero(np.diff(part)) + 1
+        for low, high in zip([0, *edges], [*edges, len(part)]):
+            if low == high:
+                continue
+            starts = np.flatnonzero(np.diff(text[low:high], prepend=-1))
+            own = text[low:high][starts]
+            wide = bool(pos[low:high].max() > 0xFFFF)
+            values = (
+                int(part[low]), did[own].tobytes(), tag[own].astype("<u2").tobytes(), np.diff(starts, append=high - low).astype("<u4").tobytes(),
+                wide, pos[low:high].astype("<u4" if wide else "<u2").tobytes(), b"" if raw is None else raw[low:high].tobytes(),
+            )
+            for c, v in zip(cols.values(), values):
+                c.append(v)
+        return pa.RecordBatch.from_pydict(cols, schema=BLOCK)
+
+    def flush(self):
+        if not self.n:
+            return
+        text, pos, key, check = (np.concatenate(x) for x in zip(*self.held))
+        did = np.array([x[0] for x in self.texts], np.int64)[text]
+        by = np.lexsort((pos, did, check, key))
+        same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
+        first = np.concatenate([[True], ~same])
+        at = np.cumsum(first) - 1
+        lead = by[first][at]  # of each sorted row, the first row with its key
+        tie = (did[by] == did[lead]) & (pos[by] == pos[lead])
+        settled = np.bincount(at)[at] > 1 if self.all_repeats else ~tie
+        sent = first if self.all_repeats else tie
+        part = ((key >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+        for chosen, known in ((by[sent], False), (by[settled], True)):
+            if not len(chosen):
+                continue
+            own = -1 - text[chosen] % self.parts if known else part[chosen]
+            chosen = chosen[np.lexsort((pos[chosen], text[chosen], own))]
+            own = -1 - text[chosen] % self.parts if known else part[chosen]
+            raw = None
+            if not known:
+                raw = np.concatenate([key[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], check[chosen].astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)[:, : self.width]
+            yield self._rows(own, text[chosen], pos[chosen], np.ascontiguousarray(raw) if raw is not None else None)
+        self.texts, self.held, self.n = [], [], 0
+
+
+BLOCK = pa.schema([("part", pa.int32()), ("did", pa.binary()), ("tag", pa.binary()), ("n", pa.binary()), ("wide", pa.bool_()), ("pos", pa.binary()), ("keys", pa.binary())])
+BLOCK_DDL = "part int, did binary, tag binary, n binary, wide boolean, pos binary, keys binary"
+PLACES = pa.schema([("home", pa.int32()), *list(BLOCK)[1:-1]])
+TEXTS = pa.schema([("did", pa.int64()), ("tag", pa.int32()), ("pos", pa.list_(pa.int32()))])
+
+
+def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """did, tag and position of every entry of packed rows."""
+    out: tuple[list, list, list] = ([], [], [])
+    for did, tag, n, wide, pos in zip(*(table.column(k).to_pylist() for k in ("did", "tag", "n", "wide", "pos"))):
+        n = np.frombuffer(n, "<u4")
+        out[0].append(np.repeat(np.frombuffer(did, np.int64), n))
+        out[1].append(np.repeat(np.frombuffer(tag, "<u2").astype(np.int64), n))
+        out[2].append(np.frombuffer(pos, "<u4" if wide else "<u2").astype(np.int64))
+    return tuple(map(np.concatenate, out))
+
+
+def _pack_homes(did: np.ndarray, tag: np.ndarray, pos: np.ndarray, homes: int) -> pa.Table:
+    """Positions packed by the home of their text, one row a home."""
+    with np.errstate(over="ignore"):
+        mixed = (did.view(np.uint64) * M2 ^ tag.astype(np.uint64)) * M1
+    home = ((mixed >> np.uint64(33)) % np.uint64(homes)).astype(np.int64)
+    by = np.lexsort((pos, tag, did, home))
+    did, tag, pos, home = did[by], tag[by], pos[by], home[by]
+    rows = []
+    edges = np.flatnonzero(np.diff(home)) + 1
+    for low, high in zip([0, *edges], [*edges, len(home)]):
+        if low == high:
+            continue
+        d, t, q = did[low:high], tag[low:high], pos[low:high]
+        starts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+        wide = bool(q.max() > 0xFFFF)
+        rows.append({
+            "home": int(home[low]), "did": d[starts].tobytes(), "tag": t[starts].astype("<u2").tobytes(), "n": np.diff(starts, append=high - low).astype("<u4").tobytes(),
+            "wide": wide, "pos": q.astype("<u4" if wide else "<u2").tobytes(),
+        })
+    return pa.Table.from_pylist(rows, schema=PLACES)
+
+
+def _search(blocks: DataFrame, width: int, all_repeats: bool, parts: int, name: str) -> DataFrame:
+    """(did, tag, ``name``): positions of repeated keys, or of those that have an earlier occurrence, by text."""
+
+    def find(table: pa.Table) -> pa.Table:
+        did, tag, pos = _unpack(table)
+        if table.column("part")[0].as_py() < 0:
+            return _pack_homes(did, tag, pos, parts)
+        raw = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("keys").to_pylist()]).reshape(-1, width)
+        wide = np.zeros((len(raw), 16), np.uint8)
+        wide[:, :6], wide[:, 8 : 8 + width - 6] = raw[:, :6], raw[:, 6:]
+        key, check = wide.view("<u8").T
+        by = np.lexsort((pos, did, check, key))
+        same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
+        first = np.concatenate([[True], ~same])
+        at = np.cumsum(first) - 1
+        if all_repeats:
+            hit = by[np.bincount(at)[at] > 1]
+        else:
+            lead = by[first][at]
+            hit = by[(did[by] != did[lead]) | (pos[by] != pos[lead])]
+        return _pack_homes(did[hit], tag[hit], pos[hit], parts)
+
+    def by_text(table: pa.Table) -> pa.Table:
+        did, tag, pos = _unpack(table)
+        by = np.lexsort((pos, tag, did))
+        did, tag, pos = did[by], tag[by], pos[by]
+        starts = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (tag[1:] != tag[:-1])]))
+        offsets = pa.array(np.append(starts, len(did)).astype(np.int32))
+        return pa.Table.from_arrays([pa.array(did[starts]), pa.array(tag[starts].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))], schema=TEXTS)
+
+    found = blocks.groupBy("part").applyInArrow(find, "home int, did binary, tag binary, n binary, wide boolean, pos binary")
+    return found.groupBy("home").applyInArrow(by_text, "did bigint, tag int, pos array<int>").withColumnRenamed("pos", name)
+
+
+def repeated_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
+    """did, tag and ``positions`` of the anchors that occur at least twice anywhere."""
     width = anchor_width(window)
 
-    def make():
-        def kernel(batch: pa.RecordBatch) -> dict:
-            rids, keys, at = [], [], []
-            for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
+    def run(batches):
+        blocks = _Blocks(parts, 6, True)
+        for batch in batches:
+            for did, tag, text in zip(*(batch.column(k).to_pylist() for k in ("did", "tag", "text"))):
                 words = (text or "").encode("utf-8", "replace").split()
                 pos = cover_positions(len(words), window)
-                if len(pos):
-                    keys.append(window_hashes(word_hashes(words), width, M1)[pos])
-                    rids.append(np.full(len(pos), rid))
-                    at.append(pos)
-            if not keys:
-                return {"key": [], "rid": [], "pos": []}
-            key, rid, pos = np.concatenate(keys), np.concatenate(rids), np.concatenate(at)
-            first, of = _split_batch(key, (rid, pos))
-            n = np.bincount(of, minlength=len(key))
-            known = np.flatnonzero(n[of] > 1)
-            spread = (rid[known].view(np.uint64) ^ pos[known].astype(np.uint64)) * M2
-            return {
-                "key": _unsigned_to_long(np.concatenate([key[first], spread])),
-                "rid": pa.array(np.concatenate([rid[first], rid[known]])),
-                "pos": pa.array(np.concatenate([pos[first], -1 - pos[known]]).astype(np.int32)),
-            }
-
-        return kernel
+                if len(pos) and blocks.add(did, tag, pos, window_hashes(word_hashes(words), width, M1)[pos], np.zeros(len(pos), np.uint64)):
+                    yield from blocks.flush()
+        yield from blocks.flush()
 
-    return map_batches(docs.select("rid", "text"), "key bigint, rid bigint, pos int", make, rows=2048)
+    return _search(docs.select("did", "tag", "text").mapInArrow(run, BLOCK_DDL), 6, True, parts, "positions")
 
 
-def repeated_anchors(found: DataFrame) -> DataFrame:
-    """rid and ``positions`` of the anchors that occur at least twice anywhere."""
-    n = F.count("*").over(Window.partitionBy("key"))
-    again = found.withColumn("n", n).where("n > 1 or pos < 0")
-    pos = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
-    return again.groupBy("rid").agg(F.collect_list(pos).alias("positions"))
-
-
-def candidate_windows(docs: DataFrame, positions: DataFrame, window: int) -> DataFrame:
-    """(key, check, doc_id, rid, pos) of windows around repeated anchors; pos < 0 as in ``anchors``."""
+def later_windows(docs: DataFrame, positions: DataFrame, window: int, parts: int) -> DataFrame:
+    """did, tag and ``starts`` of windows whose words also start earlier; only windows around repeated anchors are hashed."""
     width = anchor_width(window)
 
-    def make():
-        def kernel(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("key", "check", "doc", "null", "rid", "pos")}
-            columns = (batch.column(k).to_pylist() for k in ("doc_id", "rid", "text"))
-            for i, (doc, rid, text) in enumerate(zip(*columns)):
+    def run(batches):
+        blocks = _Blocks(parts, 10, False)
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in ("did", "tag", "text"))
+            for i, (did, tag, text) in enumerate(zip(*columns)):
                 words = word_hashes((text or "").encode("utf-8", "replace").split())
                 n = len(words) - window + 1
                 at = np.unique(np.asarray(batch.column("positions")[i].values))
@@ -133,48 +241,21 @@ def candidate_windows(docs: DataFrame, positions: DataFrame, window: int) -> Dat
                 np.add.at(cover, np.clip(at - (window - width), 0, n), 1)
                 np.add.at(cover, np.clip(at + 1, 0, n), -1)
                 pos = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-                out["key"].append(window_hashes(words, window, M1)[pos])
-                out["check"].append((window_hashes(words, window, M2)[pos] >> np.uint64(32)).astype(np.uint32))
-                out["doc"].append(np.full(len(pos), doc or 0))
-                out["null"].append(np.full(len(pos), doc is not None))
-                out["rid"].append(np.full(len(pos), rid))
-                out["pos"].append(pos)
-            names = ("key", "check", "doc", "has", "rid", "pos")
-            if not sum(map(len, out["key"])):
-                return {k: [] for k in ("key", "check", "doc_id", "rid", "pos")}
-            key, check, doc, has, rid, pos = (np.concatenate(out["null" if k == "has" else k]) for k in names)
-            mixed = key ^ (check.astype(np.uint64) << np.uint64(32)) * M2
-            first, of = _split_batch(mixed, (has, doc, pos))
-            later = np.flatnonzero((has != has[of]) | (doc != doc[of]) | (pos != pos[of]))
-            spread = (rid[later].view(np.uint64) ^ pos[later].astype(np.uint64)) * M2
-            both = np.concatenate([first, later])
-            return {
-                "key": _unsigned_to_long(np.concatenate([key[first], spread])),
-                "check": pa.array(check[both].view(np.int32)),
-                "doc_id": pa.array(doc[both], mask=~has[both]),
-                "rid": pa.array(rid[both]),
-                "pos": pa.array(np.concatenate([pos[first], -1 - pos[later]]).astype(np.int32)),
-            }
-
-        return kernel
-
-    rows = docs.join(positions, "rid").select("doc_id", "rid", "text", "positions")
-    return map_batches(rows, "key bigint, check int, doc_id bigint, rid bigint, pos int", make, rows=1024)
-
+                if blocks.add(did, tag, pos, window_hashes(words, window, M1)[pos], window_hashes(words, window, M2)[pos] >> np.uint64(32)):
+                    yield from blocks.flush()
+        yield from blocks.flush()
 
-def later_windows(found: DataFrame) -> DataFrame:
-    """rid and ``starts`` of windows whose words also start earlier."""
-    order = Window.partitionBy("key", "check").orderBy("doc_id", "pos")
-    later = found.withColumn("nth", F.rank().over(order)).where("pos < 0 or nth > 1")
-    pos = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
-    return later.groupBy("rid").agg(F.collect_list(pos).alias("starts"))
+    rows = docs.join(positions, ["did", "tag"]).select("did", "tag", "text", "positions")
+    return _search(rows.mapInArrow(run, BLOCK_DDL), 10, False, parts, "starts")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept_text on request)."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
-    positions = repeated_anchors(anchors(docs, window))
-    starts = later_windows(candidate_windows(docs, positions, window))
+    docs = docs.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.expr(f"cast(xxhash64(text) & 65535 as int)").alias("tag"))
+    size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    positions = repeated_anchors(docs, window, parts)
+    starts = later_windows(docs, positions, window, parts)
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
@@ -193,11 +274,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -
                 kept = b" ".join(words)
                 for c, v in zip(cols.values(), (n, gone, hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None)):
                     c.append(v)
-            return {"doc_id": batch.column("doc_id"), **cols}
+            return {"doc_id": pa.array([None if x == NO_ID else x for x in batch.column("did").to_pylist()], pa.int64()), **cols}
 
         return kernel
 
-    rows = docs.join(starts, "rid", "left").select("doc_id", "text", "starts")
+    rows = docs.join(starts, ["did", "tag"], "left").select("did", "text", "starts")
     return map_batches(rows, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if keep_text else ""), make)
 
 
