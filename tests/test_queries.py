@@ -1,7 +1,7 @@
 """Every query of the voxel engine against its SQL twin in DuckDB, on the smallest tables."""
 
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 from stratavox.plans import catalogue
 
