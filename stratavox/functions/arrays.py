@@ -412,3 +412,12 @@ def elastic_free_augment(a: np.ndarray, flips: tuple[bool, bool, bool], swap: tu
         if flip:
             a = np.flip(a, axis)
     return np.transpose(a, swap)
+
+
+def transplant(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, locked: np.ndarray | None = None) -> np.ndarray:
+    """``a`` with the voxels of ``b`` turned onto it; locked voxels stay as they are, only the largest component is kept."""
+    a = np.asarray(a) != 0
+    new = a | rotate_mask(b, matrix)
+    if locked is not None:
+        new = np.where(np.asarray(locked) != 0, a, new)
+    return largest(new)
