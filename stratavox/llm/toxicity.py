@@ -184,11 +184,12 @@ def fit_curve(rows: list[tuple[float, float, int]]) -> tuple[float, float, float
     return float(w[0]), float(max(0.0, w[1])), float(max(0.0, w[2]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, least: int = 4) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, least: int = 4, least_share: float = 0.005) -> ToxicityModel:
     """Learn words and the curve from at most ``max_docs`` labelled documents outside the held-out fold.
 
     Half of the sample at most is of either label, chosen by hash.  A word's count is that of the
-    different least word hashes of the texts that hold it, which near copies share.
+    different least word hashes of the texts that hold it, which near copies share; a learned word has
+    ``least`` toxic ones, and the share ``least_share`` of the toxic sample.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     take = lambda y: usable.where(F.col("toxic") > 0 if y else F.col("toxic") <= 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2)
@@ -216,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     if not sizes.get(True) or not sizes.get(False):
         return ToxicityModel()
     odds = F.log((F.col("bad") + 0.5) / (sizes[True] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[False] + 1.0))
-    best = counted.where(F.col("bad") >= least).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("odds"), "word").limit(max_words).collect()
+    best = counted.where(F.col("bad") >= max(least, least_share * sizes[True])).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("odds"), "word").limit(max_words).collect()
     insults = dict.fromkeys(INSULTS, 1.0) | {r.word: max(1.0, r.odds / 3) if r.word in INSULTS else r.odds / 3 for r in best}
     for word in (*NEGATIONS, *REPORTS, *TARGETS, *THREATS):
         insults.pop(word, None)
