@@ -421,3 +421,26 @@ def transplant(a: np.ndarray, b: np.ndarray, matrix: np.ndarray, locked: np.ndar
     if locked is not None:
         new = np.where(np.asarray(locked) != 0, a, new)
     return largest(new)
+
+
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distance of every voxel to the nearest one of the mask, infinite without any: one axis after the other."""
+    out = np.where(np.asarray(mask) != 0, 0.0, np.inf)
+    for axis in range(3):
+        f = np.moveaxis(out, axis, 0)
+        i = np.arange(f.shape[0], dtype=float)
+        best = np.full_like(f, np.inf)
+        for j in range(f.shape[0]):
+            best = np.minimum(best, f[j][None] + ((i - j) ** 2).reshape(-1, *[1] * (f.ndim - 1)))
+        out = np.moveaxis(best, 0, axis)
+    return out
+
+
+def surface_mask(mask: np.ndarray) -> np.ndarray:
+    """Voxels of the mask where its central differences (one-sided at the ends) are not all 0."""
+    a = (np.asarray(mask) != 0).astype(float)
+    steep = np.zeros(a.shape, bool)
+    for axis, n in enumerate(a.shape):
+        if n > 1:
+            steep |= np.gradient(a, axis=axis) != 0
+    return (a > 0) & steep

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import mesh as me
+from ..operators import regions as rg
 from ..operators import scalar as sc
 from ..operators import selection as se
 from ..operators import stencil as st
@@ -18,7 +19,8 @@ from ..sources import formats
 from ..sources.volumes import unique_name
 from ..volume import POINT, embedding_voxels, map_rows, map_volumes, read, to_voxels
 from .regions import _pairs, _round_trip, _SUMS, label_blocks
-from .registry import SHAPE, query, vox_sql
+from .registry import SHAPE, query, r6, vox_sql
+from .summaries import ASSD, SURF
 
 
 def _through_zarr(volume):
@@ -142,3 +144,9 @@ def predict_patches(spark, sf):
     from ..operators.patches import predict
 
     return predict(embedding_voxels(spark, sf), SHAPE, 2, 1, lambda cubes: np.stack([1 / (1 + np.exp(10 * cubes)), 1 / (1 + np.exp(-10 * cubes))], 1))
+
+
+@query("assd_blocks", vox_sql("select vec_id, round(sum(d), 6) as total, count(*)::bigint as n, round(max(d) * max(d))::int as hausdorff2 from (select * from d1 union all select * from d2) group by vec_id", *SURF, ASSD))
+def assd_blocks(spark, sf):
+    blocks = label_blocks(spark, sf).withColumn("res", F.transform("data", lambda x: F.when(x > 0.05, 1.0).otherwise(0.0)))
+    return rg.surface_distances(blocks, "gt", "res").withColumn("total", r6("total"))
