@@ -150,3 +150,22 @@ def test_curvature_shrinks_a_bump():
 @pytest.mark.parametrize("t, dof, p", [(2.262157, 9, 0.05), (0.0, 5, 1.0), (12.7062, 1, 0.05), (1.959964, 10**6, 0.05)])
 def test_t_probability(t, dof, p):
     assert abs(t_probability(t, dof) - p) < 1e-4
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_squared_distance(seed):
+    mask = np.random.default_rng(seed).random((4, 5, 6)) > 0.9
+    mask[1, 2, 3] = True
+    points = np.argwhere(mask)
+    want = [min(((p - q) ** 2).sum() for q in points) for p in np.argwhere(np.ones(mask.shape, bool))]
+    assert (ar.squared_distance(mask).ravel() == want).all()
+    assert np.isinf(ar.squared_distance(np.zeros((2, 2, 2)))).all()
+
+
+def test_transplant_keeps_locked_voxels():
+    a, b = np.zeros((3, 3, 3), int), np.zeros((3, 3, 3), int)
+    a[1, 1, 0], b[1, 1, 1], b[1, 1, 2] = 1, 1, 1
+    assert ar.transplant(a, b, ar.rotation(0, 0, 0)).sum() == 3
+    locked = np.zeros_like(a)
+    locked[1, 1, 2] = 1
+    assert ar.transplant(a, b, ar.rotation(0, 0, 0), locked).sum() == 2
