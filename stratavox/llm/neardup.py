@@ -9,9 +9,10 @@ candidate groups, a collision-corrected estimate drops what is far below the thr
 decide: with 40 bands a pair at similarity 0.8 goes unseen with probability 1e-7.
 
 Equal sets are one class from the start, so exact copies cost nothing further.  A candidate group is
-never expanded into its pairs: its members are compared with one pivot, and only groups whose members
-then lie in several components go on, with four times the pivots each round until every member has
-been one.  A pair below the threshold between members already in one component is never looked at.
+never expanded into its pairs: its members are compared with its hub, the member that meets most
+others, and components are made.  Members of hubs that then still lie in several components are looked
+at again, by the differences to their hub: two of them can only be similar if their differences meet
+in their rarest elements, which finds every link that is left and skips what a group has in common.
 
 Edge cases, all defined: a null or empty text, or one of white space, has no shingles and links with
 nothing; a text of fewer words than a shingle is one shingle; rows with equal doc_id count as one
@@ -134,10 +135,16 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
-    """Of (a, b) the links whose full sets reach the threshold; estimates far below it spare the reading of sets."""
-    one = lambda c: sketches.select(F.col("nid").alias(c), F.col("n").alias(f"n_{c}"), F.col("k").alias(f"k_{c}"), F.col("registers").alias(f"r_{c}"))
-    near = pairs.join(one("a"), "a").join(one("b"), "b").where("k_a = k_b")
-    near = near.where(estimate("r_a", "r_b", "n_a", "n_b", "k_a") >= percent / 100 - slack).select("a", "b").distinct()
+    """Of (a, b) the links whose full sets reach the threshold; estimates far below it spare the reading of sets.
+
+    The estimate from 200 registers deviates by 0.028 at similarity 0.8, so ``slack`` is six deviations.
+    """
+    one = lambda c: sketches.select(F.col("nid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketches").alias(f"s_{c}"))
+    near = pairs.join(one("a"), "a").join(one("b"), "b")
+    # of a class that both have a sketch in; two similar texts have one
+    near = near.withColumn("x", F.try_element_at(F.filter("s_a", lambda x: F.exists("s_b", lambda y: y["k"] == x["k"])), F.lit(1))).where("x is not null")
+    near = near.withColumn("y", F.element_at(F.filter("s_b", lambda y: y["k"] == F.col("x.k")), 1))
+    near = near.where(estimate("x.registers", "y.registers", "n_a", "n_b", "x.k") >= percent / 100 - slack).select("a", "b").distinct()
     full = lambda c: sets.select(F.col("nid").alias(c), F.col("set").alias(f"s_{c}"))
 
     def make():
@@ -156,46 +163,100 @@ def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     return map_batches(near.join(full("a"), "a").join(full("b"), "b"), "a bigint, b bigint", make)
 
 
+def rare_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, of members of one hub with different labels that can reach the threshold.
+
+    ``star`` has hub, nid and label.  Let D be the difference of a member's set to its hub's.  Two members
+    of which one is not linked with the hub can reach similarity t only if their differences share
+    enough, and then they meet among the first elements of each in any common order: about half of D
+    where the other one is not linked, (1 - t) n / t + 1 elements where the other one is.  What the hub
+    lacks comes first, rare shingles before common ones, so changes of a text's own meet nothing.
+    Shingles that no other text has, and the sizes, bound what two differences share from above.
+    """
+    nodes = stored(star.select("nid").unionByName(star.select(F.col("hub").alias("nid"))).distinct(), "active")
+
+    def unpack():
+        def kernel(batch: pa.RecordBatch) -> dict:
+            return {"nid": batch.column("nid"), "shingles": [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]}
+
+        return kernel
+
+    rows = stored(map_batches(sets.join(nodes, "nid"), "nid bigint, shingles array<bigint>", unpack).select("nid", F.explode("shingles").alias("shingle")), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("often")).where("often > 1")
+    shared = rows.join(often, "shingle").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+
+    def differ():
+        def kernel(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {k: [] for k in ("hub", "nid", "label", "n", "d", "more", "less", "linked", "wide", "element")}
+            hubs, nids, labels = (batch.column(k).to_pylist() for k in ("hub", "nid", "label"))
+            for i in range(batch.num_rows):
+                own, other = (np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in ("set", "hub_set"))
+                added, gone = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+                d, both = len(added) + len(gone), 100 + percent
+                linked = 100 * (len(own) - len(added)) >= percent * (len(own) + len(gone))
+                # what D shares at least with that of a similar member, if the one or the other is not linked
+                least = max(1, -((-d * both + (100 - percent) * (len(own) - len(other))) // (2 * both)))
+                short = d - least + 1
+                room = short if linked else max(short, min(d, len(own) * (100 - percent) // percent + 1))
+                common = np.zeros(0, np.int64)
+                if batch.column("shared")[i].is_valid:
+                    common = batch.column("shared")[i].values.field("shingle").to_numpy()  # rare ones first
+                    common = common[np.isin(common, added, assume_unique=True)]
+                alone = len(added) - len(common)  # shingles of no other text, which meet nothing
+                short, room = max(0, short - alone), max(0, room - alone)
+                first = np.concatenate([common, gone])[:room]
+                out["hub"] += [hubs[i]] * len(first)
+                out["nid"] += [nids[i]] * len(first)
+                out["label"] += [labels[i]] * len(first)
+                out["n"] += [len(own)] * len(first)
+                out["d"] += [d] * len(first)
+                out["linked"] += [linked] * len(first)
+                out["wide"] += [k >= short for k in range(len(first))]
+                out["more"] += [len(common)] * len(first)
+                out["less"] += [len(gone)] * len(first)
+                out["element"] += first.tolist()
+            return out
+
+        return kernel
+
+    full = star.join(sets, "nid").join(sets.select(F.col("nid").alias("hub"), F.col("set").alias("hub_set")), "hub").join(shared, "nid", "left")
+    first = stored(map_batches(full.select("hub", "nid", "label", "set", "hub_set", "shared"), "hub bigint, nid bigint, label bigint, n bigint, d bigint, more bigint, less bigint, linked boolean, wide boolean, element bigint", differ, rows=128), "prefixes")
+    one = lambda c: first.select(F.col("hub").alias(f"h_{c}"), F.col("nid").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("element").alias(f"e_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("d", "more", "less", "linked", "wide")))
+    # what two differences can share at most, against what similarity t needs them to share
+    enough = f"{2 * (100 + percent)} * (least(more_a, more_b) + least(less_a, less_b)) >= {100 + percent} * (d_a + d_b) - {100 - percent} * (n_a + n_b)"
+    meets = f"(linked_a or linked_b or not (wide_a or wide_b)) and {enough} and h_a = h_b and e_a = e_b and l_a <> l_b and a > b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    return one("a").join(one("b"), F.expr(meets)).select("a", "b").distinct()
+
+
 def link_labels(docs: DataFrame, classes: DataFrame, width: int, percent: int, slack: float) -> DataFrame | None:
     """(node, label) of every class that is linked with another one; None if there is no candidate."""
     groups = band_groups(classes)
     if groups.isEmpty():
         return None
     nodes = groups.select("nid").distinct()
-    sketches = stored(classes.join(nodes, "nid", "left_semi").select("nid", "n", F.explode("sketches").alias("s")).select("nid", "n", "s.k", "s.registers"), "sketches")
+    sketches = stored(classes.join(nodes, "nid", "left_semi").select("nid", "n", "sketches"), "sketches")
     sets = set_table(docs, nodes, width)
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    # first pivot: the least member of each group
-    hub = groups.groupBy("key").agg(F.min_by("n", "nid").alias("n_b"), F.min("nid").alias("b"))
-    pairs = groups.select("key", F.col("nid").alias("a"), F.col("n").alias("n_a")).join(hub.select(F.col("key").alias("hub_key"), "b", "n_b"), F.col("key") == F.col("hub_key"))
-    seen = stored(pairs.where(f"a <> b and {fits}").select("a", "b").distinct(), "pairs")
-    links = stored(confirm(seen, sketches, sets, percent, slack), "confirmed")
-    labels = components(links)
-    pivots = 4
-    most = int(groups.agg(F.max("members")).first()[0])
-    while True:
-        tagged = groups.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-        open_keys = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("key").alias("open_key"))
-        groups = stored(tagged.join(open_keys, F.col("key") == F.col("open_key")).select("key", "nid", "n", "members", "label"), "bands")
-        # a member is a pivot once its place in hash order is among the first ``pivots`` of its group, on average
-        place = F.shiftrightunsigned(F.xxhash64("nid"), 11) / F.lit(float(1 << 53))
-        chosen = groups.where(place * F.col("members") < pivots).select(F.col("key").alias("hub_key"), F.col("nid").alias("p"), F.col("n").alias("n_b"), F.col("label").alias("p_label"))
-        pairs = groups.select("key", "nid", F.col("n").alias("n_a"), "label").join(chosen, (F.col("key") == F.col("hub_key")) & (F.col("label") != F.col("p_label")) & F.expr(fits))
-        pairs = pairs.select(F.greatest("nid", "p").alias("a"), F.least("nid", "p").alias("b")).distinct()
-        new = stored(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            more = stored(confirm(new, sketches, sets, percent, slack), "confirmed")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-            seen = seen.unionByName(new)
-        groups = groups.drop("label")
-        if pivots >= most:
-            return labels
-        pivots *= 4
-
-
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, slack: float = 0.25) -> DataFrame:
+    # the hub of a group is the member that meets most others over all its groups: the original of a family
+    score = groups.groupBy("nid").agg(F.sum("members").alias("score"))
+    hub = groups.join(score, "nid").groupBy("key").agg(F.max_by(F.struct("nid", "n"), F.struct(F.col("score"), -F.col("nid"))).alias("h"))
+    hub = hub.select(F.col("key").alias("hub_key"), F.col("h.nid").alias("hub"), F.col("h.n").alias("hub_n"))
+    star = groups.join(hub, F.col("key") == F.col("hub_key")).where("nid <> hub").select("nid", "n", "hub", "hub_n").distinct()
+    star = stored(star, "star")
+    pair = [F.greatest("nid", "hub").alias("a"), F.least("nid", "hub").alias("b")]
+    tried = star.where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select(*pair).distinct()
+    links = stored(confirm(tried, sketches, sets, percent, slack), "confirmed")
+    labels = stored(components(links), "labels")
+    tagged = star.select("nid", "hub").join(labels.withColumnRenamed("node", "nid"), "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+    still = tagged.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("hub").alias("open_hub"))
+    star = stored(tagged.join(still, F.col("hub") == F.col("open_hub")).select("hub", "nid", "label"), "star")
+    if star.isEmpty():
+        return labels
+    new = stored(rare_pairs(star, sets, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stored(confirm(new, sketches, sets, percent, slack), "confirmed")
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, slack: float = 0.17) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept (one document of a component)."""
     rows = stored(features(docs, width, percent / 100), "features")
     classes = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("nid"), F.first("n_shingles").alias("n"), F.first("sketches").alias("sketches"))
@@ -230,8 +291,8 @@ def groups_sql(width: int = 4, percent: int = 80) -> str:
 with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []::varchar[]) as words from documents),
 s as (select distinct doc_id, words[i : i + {width - 1}] as g from d, unnest(range(1, greatest(len(words) - {width - 2}, case when len(words) > 0 then 2 else 1 end))) as u(i)),
 n as (select doc_id, count(*)::bigint as n from s group by doc_id),
-p as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
-e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= {percent} * (x.n + y.n - both)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= {percent} * (x.n + y.n - shared)),
 l as (select a as x, b as y from e union all select b, a from e),
 r(node, other) as (select doc_id, doc_id from d union select r.node, l.y from r join l on r.other = l.x)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
