@@ -126,12 +126,12 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
-            return {"nid": batch.column("nid"), "set": [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]}
+            return {"nid": batch.column("nid"), "set": [shingle_set(t, width).view(np.int64) for t in batch.column("text").to_pylist()]}
 
         return kernel
 
     rows = docs.select(F.col("doc_id").alias("nid"), "text").join(nodes, "nid", "left_semi")
-    return stored(map_batches(rows, "nid bigint, set binary", make), "sets")
+    return stored(map_batches(rows, "nid bigint, set array<bigint>", make), "sets")
 
 
 def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
@@ -146,21 +146,10 @@ def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     near = near.withColumn("y", F.element_at(F.filter("s_b", lambda y: y["k"] == F.col("x.k")), 1))
     near = near.where(estimate("x.registers", "y.registers", "n_a", "n_b", "x.k") >= percent / 100 - slack).select("a", "b").distinct()
     full = lambda c: sets.select(F.col("nid").alias(c), F.col("set").alias(f"s_{c}"))
-
-    def make():
-        def kernel(batch: pa.RecordBatch) -> dict:
-            a, b = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in ("s_a", "s_b"))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                if shared and 100 * shared >= percent * (len(x) + len(y) - shared):
-                    a.append(batch.column("a")[i].as_py())
-                    b.append(batch.column("b")[i].as_py())
-            return {"a": a, "b": b}
-
-        return kernel
-
-    return map_batches(near.join(full("a"), "a").join(full("b"), "b"), "a bigint, b bigint", make)
+    both = near.join(full("a"), "a").join(full("b"), "b")
+    # row by row in the JVM: no batch of long sets is built anywhere
+    both = both.select("a", "b", F.size("s_a").alias("n_a"), F.size("s_b").alias("n_b"), F.size(F.array_intersect("s_a", "s_b")).alias("shared"))
+    return both.where(f"100L * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
 
 def rare_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -175,52 +164,22 @@ def rare_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     nodes = stored(star.select("nid").unionByName(star.select(F.col("hub").alias("nid"))).distinct(), "active")
 
-    def unpack():
-        def kernel(batch: pa.RecordBatch) -> dict:
-            return {"nid": batch.column("nid"), "shingles": [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]}
-
-        return kernel
-
-    rows = stored(map_batches(sets.join(nodes, "nid"), "nid bigint, shingles array<bigint>", unpack).select("nid", F.explode("shingles").alias("shingle")), "shingles")
+    rows = stored(sets.join(nodes, "nid").select("nid", F.explode("set").alias("shingle")), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("often")).where("often > 1")
     shared = rows.join(often, "shingle").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-
-    def differ():
-        def kernel(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("hub", "nid", "label", "n", "d", "more", "less", "linked", "wide", "element")}
-            hubs, nids, labels = (batch.column(k).to_pylist() for k in ("hub", "nid", "label"))
-            for i in range(batch.num_rows):
-                own, other = (np.frombuffer(batch.column(k)[i].as_py(), np.int64) for k in ("set", "hub_set"))
-                added, gone = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
-                d, both = len(added) + len(gone), 100 + percent
-                linked = 100 * (len(own) - len(added)) >= percent * (len(own) + len(gone))
-                # what D shares at least with that of a similar member, if the one or the other is not linked
-                least = max(1, -((-d * both + (100 - percent) * (len(own) - len(other))) // (2 * both)))
-                short = d - least + 1
-                room = short if linked else max(short, min(d, len(own) * (100 - percent) // percent + 1))
-                common = np.zeros(0, np.int64)
-                if batch.column("shared")[i].is_valid:
-                    common = batch.column("shared")[i].values.field("shingle").to_numpy()  # rare ones first
-                    common = common[np.isin(common, added, assume_unique=True)]
-                alone = len(added) - len(common)  # shingles of no other text, which meet nothing
-                short, room = max(0, short - alone), max(0, room - alone)
-                first = np.concatenate([common, gone])[:room]
-                out["hub"] += [hubs[i]] * len(first)
-                out["nid"] += [nids[i]] * len(first)
-                out["label"] += [labels[i]] * len(first)
-                out["n"] += [len(own)] * len(first)
-                out["d"] += [d] * len(first)
-                out["linked"] += [linked] * len(first)
-                out["wide"] += [k >= short for k in range(len(first))]
-                out["more"] += [len(common)] * len(first)
-                out["less"] += [len(gone)] * len(first)
-                out["element"] += first.tolist()
-            return out
-
-        return kernel
-
-    full = star.join(sets, "nid").join(sets.select(F.col("nid").alias("hub"), F.col("set").alias("hub_set")), "hub").join(shared, "nid", "left")
-    first = stored(map_batches(full.select("hub", "nid", "label", "set", "hub_set", "shared"), "hub bigint, nid bigint, label bigint, n bigint, d bigint, more bigint, less bigint, linked boolean, wide boolean, element bigint", differ, rows=128), "prefixes")
+    full = star.join(sets.select("nid", F.col("set").alias("own")), "nid").join(sets.select(F.col("nid").alias("hub"), F.col("set").alias("other")), "hub").join(shared, "nid", "left")
+    full = full.select("hub", "nid", "label", F.size("own").cast("bigint").alias("n"), F.size("other").cast("bigint").alias("n_hub"), F.array_except("own", "other").alias("added"), F.array_except("other", "own").alias("gone"), F.coalesce(F.col("shared.shingle"), F.array().cast("array<bigint>")).alias("shared"))
+    full = full.withColumn("common", F.array_intersect("shared", "added")).drop("shared")  # rare ones first
+    full = full.withColumns({"more": F.size("common").cast("bigint"), "less": F.size("gone").cast("bigint"), "alone": (F.size("added") - F.size("common")).cast("bigint")})
+    full = full.withColumns({"d": F.expr("more + alone + less"), "linked": F.expr(f"100 * (n - more - alone) >= {percent} * (n + less)")})
+    # what D shares at least with that of a similar member, if the one or the other is not linked
+    least = F.greatest(F.lit(1), F.ceil((F.col("d") * (100 + percent) - (100 - percent) * (F.col("n") - F.col("n_hub"))) / F.lit(2.0 * (100 + percent))))
+    full = full.withColumn("short", F.col("d") - least + 1)
+    room = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", F.least(F.col("d"), F.expr(f"n * {100 - percent} div {percent} + 1"))))
+    # shingles of no other text come first and meet nothing
+    first = F.slice(F.concat("common", "gone"), F.lit(1), F.greatest(F.lit(0), room - F.col("alone")).cast("int"))
+    full = full.select("hub", "nid", "label", "n", "d", "more", "less", "linked", F.greatest(F.lit(0), F.col("short") - F.col("alone")).alias("narrow"), F.posexplode(first).alias("k", "element"))
+    first = stored(full.withColumn("wide", F.col("k") >= F.col("narrow")).drop("k", "narrow"), "prefixes")
     one = lambda c: first.select(F.col("hub").alias(f"h_{c}"), F.col("nid").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("element").alias(f"e_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("d", "more", "less", "linked", "wide")))
     # what two differences can share at most, against what similarity t needs them to share
     enough = f"{2 * (100 + percent)} * (least(more_a, more_b) + least(less_a, less_b)) >= {100 + percent} * (d_a + d_b) - {100 - percent} * (n_a + n_b)"
