@@ -24,6 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that this process has stored.
+_STORED: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that operators have stored, by Spark's own file system layer; gives their number.
+
+    To be called once results are written: what is not yet computed still reads them.
+    """
+    jvm, n = spark.sparkContext._jvm, 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -32,6 +48,7 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

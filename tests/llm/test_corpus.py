@@ -484,3 +484,13 @@ def test_chains_of_links(spark):
     links = [(i, i + 1) for i in range(60)] + [(200, 300), (300, 250)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), 200: 200, 250: 200, 300: 200}
+
+
+def test_release(spark, tmp_path):
+    from stratavox.llm import common
+
+    common.release(spark)
+    df = common.stored(spark.range(5), "kept")
+    assert df.count() == 5 and common.release(spark) == 1 and common.release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0])
