@@ -6,7 +6,8 @@ pseudonym is valid again, equal values get equal pseudonyms in every document, a
 different.  Card, phone, social security and IP numbers and dates are ranked and split into two
 numbers; e-mail names, IBAN accounts, access keys and secrets are split into two strings whose
 characters move within their class.  Each of the eight rounds adds a keyed hash of one half to the
-other.  What does not validate stays as it is.
+other.  What does not validate stays as it is, but for phone numbers outside the number plan, which are
+permuted among themselves.
 
 Edge cases, all defined: a null text stays null with 0 values; an empty text stays empty; texts are
 read whole; repeated rows get equal results; an empty table gives an empty result; other columns pass
@@ -156,13 +157,26 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Numbers of the plan (area and exchange from 200 on) are permuted among themselves, all others too."""
+
     def valid(digits: Column) -> Column:
         area = F.substr(digits, F.length(digits) - 9, F.lit(3)).cast("bigint")
         rest = F.substr(digits, F.length(digits) - 6, F.lit(7)).cast("bigint")
         country = F.substr(digits, F.lit(1), F.length(digits) - 10)
         joined = lambda t: F.concat(country, (t["a"] + 200).cast("string"), (t["b"] + 2_000_000).cast("string"))
         new = feistel_pair(area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000), "phone", key, joined)
-        return F.when((area >= 200) & (rest >= 2_000_000), _refilled(m, new)).otherwise(m)
+        return F.when((area >= 200) & (rest >= 2_000_000), _refilled(m, new)).otherwise(_refilled(m, unplanned(area, rest, country)))
+
+    def unplanned(area: Column, rest: Column, country: Column) -> Column:
+        # 200 areas of 10**7 numbers each, then the 2 * 10**6 low numbers of each of the 800 others: 3600 * 10**6
+        rank = F.when(area < 200, area * 10_000_000 + rest).otherwise(2_000_000_000 + (area - 200) * 2_000_000 + rest)
+
+        def number(n: Column) -> Column:
+            late = n - 2_000_000_000
+            return F.when(late < 0, n).otherwise((F.floor(late / 2_000_000) + 200) * 10_000_000 + late % 2_000_000)
+
+        joined = lambda t: F.concat(country, F.lpad(number(t["a"] * 1_000_000 + t["b"]).cast("string"), 10, "0"))
+        return feistel_pair(F.floor(rank / 1_000_000), rank % 1_000_000, F.lit(3600), F.lit(1_000_000), "phone_unplanned", key, joined)
 
     return _let(_digits(m), valid)
 

@@ -375,6 +375,23 @@ def test_pseudonyms(spark):
     assert new["password=e3b3ed3cc8548923d6"] == "password=" + plain_string("e3b3ed3cc8548923d6", "secret", key, ("0123456789abcdef",))
 
 
+def test_phones_outside_the_plan(spark):
+    """Area codes 000 to 199 and exchanges below 200 are replaced too, and different numbers stay different."""
+    values = [f"+1 ({a:03d}) 555-{7000 + a}" for a in range(200)] + [f"{a}-{b:03d}-0123" for a in (200, 415, 999) for b in (0, 17, 199)]
+    rows = [(i, f"call {v}, now") for i, v in enumerate(values)]
+    got = {r.doc_id: r for r in pii.pseudonymise_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    shape = lambda s: re.sub("[0-9]", "9", s)
+    for i, t in rows:
+        assert got[i].text != t and shape(got[i].text) == shape(t) and got[i].n_values == 1
+        area, rest = re.sub(r"\D", "", got[i].text)[-10:-7], re.sub(r"\D", "", got[i].text)[-7:]
+        assert int(area) < 200 or int(rest) < 2_000_000
+    assert len({r.text for r in got.values()}) == len(values)
+    a, b = plain_pair(136 * 10 + 5, 557136, 3600, 10**6, "phone_unplanned", pii.DEFAULT_KEY)
+    n = a * 10**6 + b
+    n = n if n < 2 * 10**9 else ((n - 2 * 10**9) // 2_000_000 + 200) * 10**7 + (n - 2 * 10**9) % 2_000_000
+    assert re.sub(r"\D", "", got[136].text) == f"1{n:010d}"
+
+
 def test_permutation(spark):
     """Different values stay different: all of a small set, and dates of forty years."""
     rows = spark.range(20_000).select(F.lit("x").alias("k"), F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
