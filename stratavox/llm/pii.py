@@ -25,7 +25,7 @@ DEFAULT_KEY = "stratavox pseudonyms"
 #: The formats, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}",
+    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,}",
     "access_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "date": r"(?<![\w.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-])",
@@ -38,7 +38,8 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any of them holds; texts without it are passed over.
 SCREEN = r"[0-9][0-9 -]|[0-9]\.[0-9]{1,3}\.[0-9]|@|[=:]|A[KS]IA"
-DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+HEX, UPPER_HEX = "0123456789abcdef", "0123456789ABCDEF"
 
 
 def _let(x: Column, body) -> Column:
@@ -249,7 +250,8 @@ def _access_key(m: Column, key: str) -> Column:
 def _secret(m: Column, key: str) -> Column:
     shape = r"^(.*?[=:]\s?[\"']?)([A-Za-z0-9+/_-]+)$"
     head, value = F.regexp_extract(m, shape, 1), F.regexp_extract(m, shape, 2)
-    new = F.when(value.rlike("^[0-9a-f]+$"), feistel_string(value, "secret", key, (HEX,))).otherwise(feistel_string(value, "secret", key))
+    new = F.when(value.rlike("^[0-9a-f]+$"), feistel_string(value, "secret", key, (HEX,)))
+    new = new.when(value.rlike("^[0-9A-F]+$"), feistel_string(value, "secret", key, (UPPER_HEX,))).otherwise(feistel_string(value, "secret", key))
     return F.concat(head, new)
 
 

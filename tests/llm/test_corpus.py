@@ -392,6 +392,18 @@ def test_phones_outside_the_plan(spark):
     assert re.sub(r"\D", "", got[136].text) == f"1{n:010d}"
 
 
+def test_secrets_in_any_case(spark):
+    """Keywords in any case, and upper-case hexadecimal values stay hexadecimal."""
+    upper, plain = "9233A8ECF70B11D2", "Xy12abcd_Z"
+    heads = ['TOKEN = "', "API_KEY=", "Password: ", "Secret='", "pwd=", "Api-Key: "]
+    rows = [(i, f"a {h}{v} b") for i, (h, v) in enumerate((h, v) for h in heads for v in (upper, plain))]
+    got = {r.doc_id: r for r in pii.pseudonymise_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    new = {upper: plain_string(upper, "secret", pii.DEFAULT_KEY, ("0123456789ABCDEF",)), plain: plain_string(plain, "secret", pii.DEFAULT_KEY)}
+    for i, t in rows:
+        v = upper if upper in t else plain
+        assert got[i].text == t.replace(v, new[v]) and got[i].n_values == 1
+
+
 def test_permutation(spark):
     """Different values stay different: all of a small set, and dates of forty years."""
     rows = spark.range(20_000).select(F.lit("x").alias("k"), F.date_format(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
