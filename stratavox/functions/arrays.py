@@ -331,24 +331,52 @@ def search_rotation(a: np.ndarray, b: np.ndarray, coarse: float = 15.0, fine: tu
     a, b = np.asarray(a) != 0, np.asarray(b) != 0
     best = (-1.0, 0.0, 0.0, 0.0)
 
-    def look(alphas, betas, gammas):
+    def look(*axes):
         nonlocal best
-        for x in alphas:
-            for y in betas:
-                for z in gammas:
-                    d = overlap(rotate_mask(a, rotation(*np.radians([x, y, z]))), b)
-                    if d > best[0]:
-                        best = (d, float(x), float(y), float(z))
-
-    look(np.arange(0, 360, coarse), np.arange(0, 180, coarse), np.arange(0, 360, coarse))
+        for angles, index in turns(a.shape, axes):
+            turned = a.ravel()[index]
+            both, n = (turned & b.ravel()).sum(1), turned.sum(1) + b.sum()
+            dice = np.where(n > 0, 2 * both / np.maximum(n, 1), 1.0)
+            k = int(dice.argmax())
+            if dice[k] > best[0]:
+                best = (float(dice[k]), *map(float, angles[k]))
+
+    look(*(np.arange(0, end, coarse) for end in (360, 180, 360)))
     step = coarse
     for f in fine:
-        around = [np.arange(c - step + f, c + step, f) for c in best[1:]]
-        look(*around)
+        look(*(np.arange(c - step + f, c + step, f) for c in best[1:]))
         step = f
     return best
 
 
+#: Turned positions of the last whole grids, by shape and angles.
+_TURNS: dict[tuple, list] = {}
+
+
+def turns(shape: tuple[int, ...], axes: tuple[np.ndarray, ...], most: int = 1 << 20):
+    """Chunks of (angles in degrees, flat positions that ``rotate_mask`` gathers from) over a grid of angles, first axis slowest.
+
+    A chunk holds about ``most`` positions; a grid that starts at 0 and fits one chunk is kept for the next call.
+    """
+    whole = (shape, tuple(map(tuple, axes)))
+    if whole in _TURNS:
+        yield from _TURNS[whole]
+        return
+    angles = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+    centre = (np.array(shape) - 1) / 2
+    points = np.indices(shape).reshape(3, -1).T - centre
+    size = max(1, most // len(points))
+    for at in range(0, len(angles), size):
+        some = angles[at : at + size]
+        matrices = np.array([rotation(*np.radians(t)) for t in some])
+        to = np.clip(np.rint(points @ matrices + centre).astype(np.int64), 0, np.array(shape) - 1)
+        out = some, np.ravel_multi_index(tuple(np.moveaxis(to, 2, 0)), shape)
+        if len(some) == len(angles) and not angles[0].any():
+            _TURNS.clear()
+            _TURNS[whole] = [out]
+        yield out
+
+
 def majority(votes: list[np.ndarray], locked: np.ndarray | None = None) -> np.ndarray:
     """Voxels with at least two votes that are not locked; only the largest component."""
     total = sum(np.asarray(v) != 0 for v in votes) >= 2

@@ -165,7 +165,7 @@ def smart_interpolation(blocks: DataFrame, walks: int = 10, steps: int = 200, ke
     return argmax_label(random_walk_hits(blocks, walks, steps, key, **options), "label", "h")
 
 
-def rotation_search(pairs: DataFrame, coarse: float = 30.0, fine: tuple[float, ...] = (10.0,)) -> DataFrame:
+def rotation_search(pairs: DataFrame, coarse: float = 15.0, fine: tuple[float, ...] = (5.0, 1.0)) -> DataFrame:
     """Pairs of masks (a, b arrays of one shape n x n x n): best Dice and its angles."""
 
     def run(batch: pa.RecordBatch) -> dict:

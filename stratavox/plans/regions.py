@@ -204,12 +204,12 @@ def _pairs(spark, sf):
 
 @query("rotation_grid_search")
 def rotation_grid_search(spark, sf):
-    return rg.rotation_search(_pairs(spark, sf), 90.0, (45.0,))
+    return rg.rotation_search(_pairs(spark, sf))
 
 
 @query("rotation_dice")
 def rotation_dice(spark, sf):
-    return rg.rotation_search(_pairs(spark, sf), 90.0, ()).select("id_a", "id_b", "dice")
+    return rg.rotation_search(_pairs(spark, sf)).select("id_a", "id_b", "dice")
 
 
 @query("majority_vote")

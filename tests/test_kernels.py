@@ -120,6 +120,19 @@ def test_rotation_search_finds_a_quarter_turn():
     assert ar.search_rotation(mask, turned, 90.0, ())[0] > 0.99
 
 
+def test_rotation_search_finds_other_turns():
+    """Masks turned by 30 degrees are found again, with the Dice of the angles that are given."""
+    r = np.random.default_rng(3)
+    for _ in range(3):
+        a = r.random((4, 4, 4)) < 0.5
+        dice, *angles = ar.search_rotation(a, ar.rotate_mask(a, ar.rotation(np.radians(30), 0, 0)))
+        assert dice == 1
+        b = r.random((4, 4, 4)) < 0.5
+        dice, *angles = ar.search_rotation(a, b)
+        assert dice == ar.overlap(ar.rotate_mask(a, ar.rotation(*np.radians(angles))), b)
+        assert dice >= ar.search_rotation(a, b, 30.0, ())[0]
+
+
 def test_majority_and_circle():
     votes = [np.zeros((3, 3, 3), int) for _ in range(3)]
     for v in votes[:2]:

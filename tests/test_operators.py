@@ -131,3 +131,17 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n")).first()[0] == 2
     assert sorted(r.n for r in jobs.job_counts(rows).collect()) == [1, 2]
+
+
+def test_rotation_queries_use_all_passes(spark, monkeypatch):
+    """Both queries find a turn by 30 degrees, which no grid of 90 or 45 degrees holds."""
+    from stratavox.functions import arrays
+    from stratavox.plans import regions as plans
+
+    a = np.random.default_rng(7).random((4, 4, 4)) < 0.5
+    b = arrays.rotate_mask(a, arrays.rotation(np.radians(30), 0, 0))
+    assert arrays.search_rotation(a, b, 90.0, (45.0,))[0] < 0.9
+    pair = spark.createDataFrame([(0, 1, a.ravel().astype(float).tolist(), b.ravel().astype(float).tolist())], "id_a bigint, id_b bigint, a array<double>, b array<double>")
+    monkeypatch.setattr(plans, "_pairs", lambda *_: pair)
+    assert plans.rotation_grid_search(spark, "").first().dice == 1
+    assert plans.rotation_dice(spark, "").first().dice == 1
