@@ -221,18 +221,30 @@ def active_contour(labels: np.ndarray, image: np.ndarray, steps: int = 6, smooth
     return out
 
 
-def uniform(*parts) -> np.ndarray:
-    """Numbers in [0, 1) from counters: the same for equal parts on any machine and partition."""
-    h = np.uint64(0x9E3779B97F4A7C15)
+def mixed(h, *parts):
+    """The counter hash ``h`` with further parts mixed in, one after the other."""
     with np.errstate(over="ignore"):
         for p in parts:
             h = (h ^ np.asarray(p).astype(np.int64).view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
             h = h ^ (h >> np.uint64(31))
             h = h * np.uint64(0x94D049BB133111EB)
             h = h ^ (h >> np.uint64(29))
+    return h
+
+
+def fraction(h) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
+#: The hash before any part.
+START = np.uint64(0x9E3779B97F4A7C15)
+
+
+def uniform(*parts) -> np.ndarray:
+    """Numbers in [0, 1) from counters: the same for equal parts on any machine and partition."""
+    return fraction(mixed(START, *parts))
+
+
 def seed_spread(image: np.ndarray, labels: np.ndarray, axis: int = 0) -> np.ndarray:
     """Mean squared deviation of same-label voxels in the 3 x 3 patch of the seed's plane from the seed; 1 at least."""
     image, total, n = np.asarray(image, float), np.zeros(np.shape(image)), np.zeros(np.shape(image))
@@ -254,30 +266,65 @@ def random_walks(image: np.ndarray, labels: np.ndarray, label: int, walks: int,
     intensity and A the neighbour's; a move that would leave the array uses up its step without a hit.
     Random numbers depend on (key, global seed position, walk, step) alone.
     """
-    image = np.asarray(image, float)
-    seeds = np.argwhere((np.asarray(labels) == label) & (True if chosen is None else chosen))
-    hits = np.zeros(image.shape, np.int64)
-    if not len(seeds):
-        return hits
-    var = seed_spread(image, labels, axis)[tuple(seeds.T)]
-    level = image[tuple(seeds.T)]
-    where = [s + o for s, o in zip(seeds.T, origin)]
-    moves = np.array(FACES)
-    for walk in range(walks):
-        at = seeds.copy()
-        for step in range(steps):
-            to = at[:, None, :] + moves[None]
-            ok = ((to >= 0) & (to < np.array(image.shape))).all(2)
-            safe = np.where(ok[..., None], to, 0)
-            w = np.exp(-((level[:, None] - image[tuple(np.moveaxis(safe, 2, 0))]) ** 2) / (2 * var[:, None]))
-            total = np.cumsum(w, axis=1)
-            u = uniform(key, *where, label, walk, step) * total[:, -1]
-            pick = np.minimum((total <= u[:, None]).sum(1), 5)
-            rows = np.arange(len(seeds))
-            moved = ok[rows, pick]
-            at = np.where(moved[:, None], safe[rows, pick], at)
-            np.add.at(hits, tuple(at[moved].T), 1)
-    return hits
+    return walk_together([(image, labels, label, key, origin, chosen, axis)], walks, steps)[0]
+
+
+def neighbours(shape: tuple[int, ...]) -> np.ndarray:
+    """Flat position of the six face neighbours of each voxel (6, n), -1 outside."""
+    at = np.indices(shape).reshape(3, -1)
+    to = at[None] + np.array(FACES)[:, :, None]
+    ok = ((to >= 0) & (to < np.array(shape)[:, None])).all(1)
+    return np.where(ok, np.ravel_multi_index(tuple(np.where(ok[:, None], to, 0).swapaxes(0, 1)), shape), -1)
+
+
+def walk_together(jobs: list[tuple], walks: int, steps: int, most: int = 1 << 20) -> list[np.ndarray]:
+    """Hits of each job (image, labels, label, key, origin, chosen, axis) of ``random_walks``; all walks take each step at once.
+
+    Weights are summed once for each seed and voxel where those are at most ``most``, else at each step;
+    a quarter of that many walks go together.
+    """
+    fields = [np.asarray(j[0], float) for j in jobs]
+    seeds = [np.argwhere((np.asarray(j[1]) == j[2]) & (True if j[5] is None else j[5])) for j in jobs]
+    count, sizes = np.array([len(s) for s in seeds]), np.array([f.size for f in fields])
+    first = np.cumsum(sizes) - sizes
+    hits = np.zeros(sizes.sum(), np.int64)
+    if count.sum():
+        # per seed: its job, flat position, intensity and spread, and the hash of all that its walks share
+        own = np.repeat(np.arange(len(jobs)), count)
+        begin = np.concatenate([np.ravel_multi_index(tuple(s.T), f.shape) + o for s, f, o in zip(seeds, fields, first)])
+        flat = np.concatenate([f.ravel() for f in fields])
+        level = flat[begin]
+        var = np.concatenate([seed_spread(f, j[1], j[6])[tuple(s.T)] for s, f, j in zip(seeds, fields, jobs)])
+        shared = np.concatenate([mixed(START, j[3], *(s[:, k] + j[4][k] for k in range(3)), j[2]) for s, j in zip(seeds, jobs)])
+        shapes = {f.shape: neighbours(f.shape) for f in fields}
+        near = np.concatenate([np.where(shapes[f.shape] < 0, -1, shapes[f.shape] + o) for f, o in zip(fields, first)], axis=1)
+        corner = np.repeat(first, sizes)
+
+        def sums(at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+            to = near[:, at]
+            w = np.exp(-((level[seed] - flat[np.where(to < 0, corner[at], to)]) ** 2) / (2 * var[seed]))
+            return np.cumsum(w, axis=0)
+
+        width = sizes[own]
+        tabled = width.sum() <= most
+        if tabled:
+            start = np.cumsum(width) - width
+            seed = np.repeat(np.arange(len(own)), width)
+            table = sums(np.arange(len(seed)) - start[seed] + first[own[seed]], seed)
+            shift = start - first[own]
+        flow = near.T.ravel()
+        size = max(1, most // 4)
+        for low in range(0, len(own) * walks, size):
+            walk, seed = np.divmod(np.arange(low, min(low + size, len(own) * walks)), len(own))
+            at, h = begin[seed], mixed(shared[seed], walk)
+            for step in range(steps):
+                total = table[:, at + shift[seed]] if tabled else sums(at, seed)
+                u = fraction(mixed(h, step)) * total[5]
+                to = flow[at * 6 + (total[:5] <= u).sum(0)]
+                moved = to >= 0
+                at = np.where(moved, to, at)
+                np.add.at(hits, at[moved], 1)
+    return [hits[o : o + n].reshape(f.shape) for o, n, f in zip(first, sizes, fields)]
 
 
 def adaptive_seeds(labels: np.ndarray, reach: int = 100) -> np.ndarray:

@@ -132,6 +132,22 @@ def random_walk_hits(blocks: DataFrame, walks: int = 10, steps: int = 4000, key:
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("vec_id", "z", "y", "x", "label", "h")}
+        jobs: list[tuple] = []
+        ids: list[int] = []
+
+        def walk() -> None:
+            hits = arrays.walk_together(jobs, walks, steps)
+            for first in range(0, len(jobs), len(axes)):
+                h, (_, _, k, _, origin, _, _) = sum(hits[first : first + len(axes)]), jobs[first]
+                at = np.argwhere(h > 0)
+                out["vec_id"] += [ids[first]] * len(at)
+                for c, column, o in zip(AT, at.T, origin):
+                    out[c] += (column + o).tolist()
+                out["label"] += [k] * len(at)
+                out["h"] += h[h > 0].tolist()
+            jobs.clear()
+            ids.clear()
+
         for i in range(batch.num_rows):
             row = {k: batch.column(k)[i].as_py() for k in ("vec_id", "z0", "y0", "x0", "nz", "ny", "nx", *(core if has_core else ()))}
             shape, origin = (row["nz"], row["ny"], row["nx"]), (row["z0"], row["y0"], row["x0"])
@@ -144,13 +160,12 @@ def random_walk_hits(blocks: DataFrame, walks: int = 10, steps: int = 4000, key:
             if adaptive:
                 chosen &= arrays.adaptive_seeds(l)
             for k in np.unique(l[l > 0]):
-                hits = sum(arrays.random_walks(a, l, int(k), walks, steps, key + 7919 * axis, origin, chosen, axis) for axis in axes)
-                at = np.argwhere(hits > 0)
-                out["vec_id"] += [row["vec_id"]] * len(at)
-                for c, column, o in zip(AT, at.T, origin):
-                    out[c] += (column + o).tolist()
-                out["label"] += [int(k)] * len(at)
-                out["h"] += hits[hits > 0].tolist()
+                jobs += [(a, l, int(k), key + 7919 * axis, origin, chosen, axis) for axis in axes]
+                ids += [row["vec_id"]] * len(axes)
+                if sum(j[0].size for j in jobs) > 1 << 18:
+                    walk()
+        if jobs:
+            walk()
         return out
 
     needed = ["vec_id", "z0", "y0", "x0", "nz", "ny", "nx", image, labels, *(core if has_core else ())]
@@ -158,7 +173,7 @@ def random_walk_hits(blocks: DataFrame, walks: int = 10, steps: int = 4000, key:
     return found.groupBy(*KEY, *AT, "label").agg(F.sum("h").alias("h"))
 
 
-def smart_interpolation(blocks: DataFrame, walks: int = 10, steps: int = 200, key: int = 0, **options) -> DataFrame:
+def smart_interpolation(blocks: DataFrame, walks: int = 10, steps: int = 4000, key: int = 0, **options) -> DataFrame:
     """The label whose walks came by most often, at each voxel that was hit."""
     from .aggregates import argmax_label
 

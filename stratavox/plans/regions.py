@@ -119,22 +119,22 @@ def nearest_seed_join(spark, sf):
 
 @query("random_walk_hits")
 def random_walk_hits(spark, sf):
-    return rg.random_walk_hits(label_blocks(spark, sf), walks=2, steps=20, labels="seeds")
+    return rg.random_walk_hits(label_blocks(spark, sf), labels="seeds")
 
 
 @query("random_walk_allaxis")
 def random_walk_allaxis(spark, sf):
-    return rg.random_walk_hits(label_blocks(spark, sf), walks=1, steps=20, labels="seeds", axes=(0, 1, 2))
+    return rg.random_walk_hits(label_blocks(spark, sf), labels="seeds", axes=(0, 1, 2))
 
 
 @query("random_walk_large")
 def random_walk_large(spark, sf):
-    return rg.random_walk_hits(label_blocks(spark, sf), walks=1, steps=20, labels="seeds", adaptive=True)
+    return rg.random_walk_hits(label_blocks(spark, sf), labels="seeds", adaptive=True)
 
 
 @query("smart_interpolation")
 def smart_interpolation(spark, sf):
-    return rg.smart_interpolation(label_blocks(spark, sf), 2, 20, labels="seeds")
+    return rg.smart_interpolation(label_blocks(spark, sf), labels="seeds")
 
 
 @query("curvature_flow_smooth")

@@ -112,6 +112,28 @@ def test_walks_are_reproducible_and_stay_inside_edges():
     assert (found[(a + b) > 0] == np.where(image > 50, 2, 1)[(a + b) > 0]).all()
 
 
+def test_walks_together_are_those_of_a_plain_loop():
+    r, jobs = np.random.default_rng(4), []
+    for n, shape in enumerate([(4, 4, 4), (3, 5, 2), (1, 4, 6)]):
+        jobs.append((r.normal(0, 1, shape), r.integers(0, 3, shape), 1 + n % 2, 7 * n, (n, 2, 3), r.random(shape) < 0.7, n))
+    for most in (1 << 20, 40):
+        for (image, labels, label, key, origin, chosen, axis), got in zip(jobs, ar.walk_together(jobs, 3, 30, most)):
+            want, spread = np.zeros(image.shape, int), ar.seed_spread(image, labels, axis)
+            for seed in np.argwhere((labels == label) & chosen):
+                for walk in range(3):
+                    at = tuple(seed)
+                    for step in range(30):
+                        to = [tuple(np.add(at, f)) for f in ar.FACES]
+                        ok = [all(0 <= c < n for c, n in zip(t, image.shape)) for t in to]
+                        level = np.array([image[t if o else (0, 0, 0)] for t, o in zip(to, ok)])
+                        total = np.cumsum(np.exp(-((image[tuple(seed)] - level) ** 2) / (2 * spread[tuple(seed)])))
+                        pick = min(5, int((total <= ar.uniform(key, *np.add(seed, origin), label, walk, step) * total[-1]).sum()))
+                        if ok[pick]:
+                            at = to[pick]
+                            want[at] += 1
+            assert (got == want).all() and want.sum() > 0
+
+
 def test_rotation_search_finds_a_quarter_turn():
     mask = np.zeros((9, 9, 9), bool)
     mask[2:5, 2:7, 4] = True

@@ -145,3 +145,22 @@ def test_rotation_queries_use_all_passes(spark, monkeypatch):
     monkeypatch.setattr(plans, "_pairs", lambda *_: pair)
     assert plans.rotation_grid_search(spark, "").first().dice == 1
     assert plans.rotation_dice(spark, "").first().dice == 1
+
+
+def test_walk_queries_reach_every_voxel(spark, sf):
+    """Every voxel of a volume with seeds is hit and labelled, and hits are those of 10 walks of 4000 steps a seed."""
+    from pyspark.sql import functions as F
+    from stratavox.functions import arrays
+    from stratavox.plans import regions as plans
+
+    seeded = plans.label_blocks(spark, sf).where("vec_id < 100").where(F.exists("seeds", lambda x: x > 0)).select("vec_id", "data", "seeds").collect()
+    got = {}
+    for r in plans.random_walk_hits(spark, sf).where("vec_id < 100").collect():
+        got.setdefault(r.vec_id, {})[r.z, r.y, r.x, r.label] = r.h
+    for r in seeded[:3]:
+        image, seeds = (np.array(c).reshape(4, 4, 4) for c in (r.data, r.seeds))
+        for k in np.unique(seeds[seeds > 0]):
+            h = arrays.random_walks(image, seeds, int(k), 10, 4000)
+            assert all(got[r.vec_id].get((*at, int(k)), 0) == n for at, n in np.ndenumerate(h))
+    labelled = plans.smart_interpolation(spark, sf).where("vec_id < 100").groupBy("vec_id").count().collect()
+    assert len(seeded) > 50 and {r.vec_id: r["count"] for r in labelled} == {r.vec_id: 64 for r in seeded}
