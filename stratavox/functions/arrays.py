@@ -464,21 +464,61 @@ def resize(a: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
     return np.asarray(a, float)
 
 
-def fit_circle(image: np.ndarray, width: int = 10, grid: int = 15) -> tuple[int, int, int]:
-    """Centre (y, x) and radius of the ring of ``width`` that holds the fewest zeros in a slice."""
+def ring_cells(shape: tuple[int, int], ys: np.ndarray, xs: np.ndarray, dr: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Centres (n, 2) of a grid, and for each centre and pixel the number of ``dr`` wide steps to it, offset by centre; steps a centre."""
+    centres = np.stack(np.meshgrid(ys, xs, indexing="ij"), -1).reshape(-1, 2)
+    y, x = np.indices(shape).reshape(2, -1)
+    d = np.sqrt((y - centres[:, :1]) ** 2 + (x - centres[:, 1:]) ** 2)
+    cells = np.ceil(d / dr - 1e-9).astype(np.int64)
+    k = int(np.ceil(np.hypot(*shape) / dr)) + 2
+    return centres, cells + np.arange(len(centres))[:, None] * k, k
+
+
+#: Cells of the last whole grids, by what makes them.
+_CELLS: dict[tuple, tuple] = {}
+
+
+def best_rings(image: np.ndarray, ys: np.ndarray, xs: np.ndarray, width: float, parts: int, keep: bool = False) -> tuple[float, ...]:
+    """(share of zeros, -radius, distance to the slice's centre, cy, cx, r) of the best circle inside the slice with a centre on the grid."""
+    (h, w), dr = image.shape, width / parts
+    zero, best = image.ravel() == 0, (np.inf,)
+    rows = max(1, (1 << 20) // (image.size * len(xs)))
+    for low in range(0, len(ys), rows):
+        key = (image.shape, tuple(ys[low : low + rows]), tuple(xs), dr)
+        found = _CELLS.get(key) or ring_cells(image.shape, ys[low : low + rows], xs, dr)
+        if keep and len(ys) <= rows:
+            if key not in _CELLS:
+                _CELLS.clear()
+            _CELLS[key] = found
+        centres, cells, k = found
+        count = lambda c: np.bincount(c.ravel(), minlength=len(centres) * k).reshape(-1, k).cumsum(1)
+        rings = lambda c: c - np.pad(c, ((0, 0), (parts, 0)))[:, :k]
+        zeros, n = rings(count(cells[:, zero])), rings(count(cells))
+        r = np.arange(k) * dr
+        room = np.minimum(np.minimum(centres[:, 0], h - 1 - centres[:, 0]), np.minimum(centres[:, 1], w - 1 - centres[:, 1])) + 0.5
+        c, at = np.nonzero((n > 0) & (r > (width if 2 * width < min(h, w) else 0.5)) & (r <= room[:, None] + 1e-9))
+        if len(c):
+            share, off = zeros[c, at] / n[c, at], np.hypot(*(centres[c] - [(h - 1) / 2, (w - 1) / 2]).T)
+            i = np.lexsort((off, -at, share))[0]
+            best = min(best, (float(share[i]), -float(r[at[i]]), float(off[i]), *map(float, centres[c[i]]), float(r[at[i]])))
+    return best
+
+
+def fit_circle(image: np.ndarray, width: int = 10, grid: int = 15) -> tuple[float, float, float]:
+    """Centre (y, x) and radius of the ring of ``width`` with the least share of zeros in a slice; of equals the largest, then the most central.
+
+    Circles that lie in the slice and, where it has room, around a hole are tried: centres all over it, ``grid`` an axis and
+    half a width apart at most, then ``grid`` an axis between the neighbours of the best, with finer radii.
+    """
     h, w = image.shape
-    y, x = np.indices(image.shape)
-    best = (np.inf, h // 2, w // 2, min(h, w) // 2)
-    for cy in range(h // 2 - grid // 2, h // 2 + grid // 2 + 1):
-        for cx in range(w // 2 - grid // 2, w // 2 + grid // 2 + 1):
-            d = np.sqrt((y - cy) ** 2 + (x - cx) ** 2)
-            for r in range(min(h, w) // 2 - grid, min(h, w) // 2):
-                ring = (d <= r) & (d > r - width)
-                if ring.any():
-                    share = (image[ring] == 0).mean()
-                    if share < best[0]:
-                        best = (share, cy, cx, r)
-    return best[1:]
+    parts = max(1, int(np.ceil(width * grid / (min(h, w) / 2))))
+    ys, xs = (np.linspace(0, n - 1, max(grid, int(np.ceil(2 * n / width)))) for n in (h, w))
+    best = best_rings(image, ys, xs, width, parts, keep=True)
+    if len(best) == 1:
+        return (h - 1) / 2, (w - 1) / 2, min(h, w) / 2
+    step = [a[1] - a[0] if len(a) > 1 else 0.0 for a in (ys, xs)]
+    fine = best_rings(image, *(np.linspace(c - s, c + s, grid) for c, s in zip(best[3:5], step)), width, 4 * parts)
+    return min(best, fine)[3:]
 
 
 def elastic_free_augment(a: np.ndarray, flips: tuple[bool, bool, bool], swap: tuple[int, int, int]) -> np.ndarray:

@@ -179,7 +179,7 @@ def label_particles(spark, sf):
 
 @query("remove_container")
 def remove_container(spark, sf):
-    return ones(rg.remove_container(label_blocks(spark, sf), "gt", width=1, grid=1), "v")
+    return ones(rg.remove_container(label_blocks(spark, sf), "gt", width=1), "v")
 
 
 @query("resize_cubic")

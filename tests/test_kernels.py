@@ -168,6 +168,21 @@ def test_majority_and_circle():
     assert abs(cy - 30) <= 7 and abs(cx - 30) <= 7 and r <= 20
 
 
+def test_circle_off_centre():
+    """A ring anywhere in a slice is found, and small slices are cut by what they hold."""
+    y, x = np.indices((60, 48))
+    for cy, cx, r in ((18, 30, 15), (40.5, 17, 13), (30, 24, 20)):
+        d = np.sqrt((y - cy) ** 2 + (x - cx) ** 2)
+        got = ar.fit_circle(((d <= r) & (d > r - 4)).astype(float), 3, 15)
+        assert np.abs(np.subtract(got, (cy, cx, r))).max() <= 1
+    small = np.zeros((4, 4))
+    small[1:, 1:] = 1
+    small[2, 2] = 0
+    cy, cx, r = ar.fit_circle(small, 1, 15)
+    assert abs(cy - 2) < 0.3 and abs(cx - 2) < 0.3 and 1 <= r <= 1.8
+    assert ar.fit_circle(np.ones((4, 4)), 1, 15) == (1.5, 1.5, 2)
+
+
 def test_resize():
     a = np.arange(64.0).reshape(4, 4, 4)
     assert np.allclose(ar.resize(a, (2, 2, 2)), a.reshape(2, 2, 2, 2, 2, 2).mean((1, 3, 5)))
