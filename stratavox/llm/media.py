@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_batches, stored
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -158,33 +158,59 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (whole - len(raw)), len(raw)
 
 
-def store_media(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
-    """Texts as stored media: a grey image one tile wide is decoded and kept as NPY tiles.
+#: What is read back from stored media.
+READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
-    Gives doc_id, n_bytes, the stored ``media`` (unless ``keep_bytes`` is false) and what is read back
-    from it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and ``feature``
-    (``tiles x 24 x 24:`` and the difference hash of the whole image).
-    """
+
+def make_media(text: str | None) -> tuple[int, bytes]:
+    """Bytes of the text, and NPY tiles of its decoded grey image."""
+    payload, n = text_payload(text)
+    picture = decode_image(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE)))
+    return n, npy_bytes(to_tiles(picture))
+
+
+def media_values(media: bytes) -> tuple:
+    """The columns of ``READ`` from stored tiles."""
+    tiles = npy_array(media)
+    back = tiles.tobytes()
+    return (
+        len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(),
+        f"{tiles.shape[0]}x{SIDE}x{SIDE}:{difference_hash(tiles.reshape(-1, SIDE))}",
+    )
+
+
+def write_media(docs: DataFrame) -> DataFrame:
+    """Texts as media: doc_id, n_bytes and ``media``, a grey image one tile wide as NPY tiles."""
+
+    def make():
+        def kernel(batch: pa.RecordBatch) -> dict:
+            made = [make_media(text) for text in batch.column("text").to_pylist()]
+            return {"doc_id": batch.column("doc_id"), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]}
+
+        return kernel
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, n_bytes bigint, media binary", make, rows=128)
+
+
+def read_media(table: DataFrame, keep_bytes: bool = True) -> DataFrame:
+    """What is read back from a table of ``write_media``, with the ``media`` themselves unless ``keep_bytes`` is false."""
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
-            names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
-            cols: dict[str, list] = {k: [] for k in names}
-            for text in batch.column("text").to_pylist():
-                payload, n = text_payload(text)
-                picture = decode_image(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE)))
-                media = npy_bytes(to_tiles(picture))
-                tiles = npy_array(media)
-                back = tiles.tobytes()
-                values = (
-                    n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(),
-                    f"{tiles.shape[0]}x{SIDE}x{SIDE}:{difference_hash(tiles.reshape(-1, SIDE))}", media,
-                )
-                for c, v in zip(cols.values(), values):
-                    c.append(v)
-            return {"doc_id": batch.column("doc_id"), **cols}
+            values = zip(*map(media_values, batch.column("media").to_pylist()))
+            names = [x.split()[0] for x in READ.split(", ")]
+            return {**{k: batch.column(k) for k in ("doc_id", "n_bytes", "media")}, **dict(zip(names, map(list, values)))}
 
         return kernel
 
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_batches(docs.select("doc_id", "text"), schema + (", media binary" if keep_bytes else ""), make, rows=128)
+    return map_batches(table, f"doc_id bigint, n_bytes bigint, {READ}" + (", media binary" if keep_bytes else ""), make, rows=128)
+
+
+def store_media(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
+    """Texts as stored media: a grey image one tile wide is decoded, written as NPY tiles to the shared folder and read back.
+
+    Gives doc_id, n_bytes, the stored ``media`` (unless ``keep_bytes`` is false) and what is read back
+    from it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and ``feature``
+    (``tiles x 24 x 24:`` and the difference hash of the whole image).
+    """
+    return read_media(stored(write_media(docs), "media"), keep_bytes)

@@ -375,6 +375,21 @@ def test_pseudonyms(spark):
     assert new["password=e3b3ed3cc8548923d6"] == "password=" + plain_string("e3b3ed3cc8548923d6", "secret", key, ("0123456789abcdef",))
 
 
+def test_media_are_read_from_storage(spark, sf):
+    """op2 writes a media column to the shared folder and derives its values from that table."""
+    from stratavox.llm import common
+
+    before = len(common._STORED)
+    got = queries.op2_media_columns(spark, sf)
+    assert len(common._STORED) == before + 1
+    kept = {r.doc_id: r.media for r in spark.read.parquet(common._STORED[-1]).collect()}
+    rows = got.collect()
+    assert len(rows) == len(kept) > 0 and "media" not in got.columns
+    assert all(r.media_sha256 == hashlib.sha256(kept[r.doc_id]).hexdigest() for r in rows)
+    name = common._STORED[-1].rsplit("/", 1)[1]
+    assert got.inputFiles() and all(name in f for f in got.inputFiles())
+
+
 def test_phones_outside_the_plan(spark):
     """Area codes 000 to 199 and exchanges below 200 are replaced too, and different numbers stay different."""
     values = [f"+1 ({a:03d}) 555-{7000 + a}" for a in range(200)] + [f"{a}-{b:03d}-0123" for a in (200, 415, 999) for b in (0, 17, 199)]
