@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,9 +17,15 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master (one machine, as in tests) gets a folder of its own; any other raises, since
+    executors on other machines would not see what is written there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stratavox-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -28,14 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 _STORED: list[str] = []
 
 
-def release(spark: SparkSession) -> int:
+def mark() -> int:
+    """How many tables are stored by now, for ``release``."""
+    return len(_STORED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     """Deletes the tables that operators have stored, by Spark's own file system layer; gives their number.
 
-    To be called once results are written: what is not yet computed still reads them.
+    Those stored before ``since`` (a ``mark()``) and the last ``keep`` stay.  To be called once results
+    are written: what is not yet computed still reads them.
     """
     jvm, n = spark.sparkContext._jvm, 0
-    while _STORED:
-        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+    end = len(_STORED) - keep
+    gone, _STORED[since:end] = _STORED[since:end], []
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
     return n
 

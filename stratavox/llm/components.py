@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mark, release, stored
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round is written to the shared folder; the number of rounds grows with the logarithm of the
     longest chain.  Raises ``RuntimeError`` rather than return unfinished labels.
     """
+    since = mark()
     now = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     state = None
     for _ in range(max_rounds):
         now = stored(_step(_step(now, large=True), large=False), "links")
+        release(links.sparkSession, since, keep=1)  # the round before is read no more
         found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

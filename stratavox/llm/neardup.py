@@ -152,6 +152,17 @@ def confirm(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int
     return both.where(f"100L * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
 
+def differences(star: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, nid, label, n, n_hub, added, gone): what each member has beyond its hub and what it lacks; stored.
+
+    Full sets are read once, here; everything after works on these short rows.
+    """
+    own = star.join(sets.select("nid", F.col("set").alias("own")), "nid")
+    both = own.join(sets.select(F.col("nid").alias("hub"), F.col("set").alias("other")), "hub")
+    sizes = [F.size("own").cast("bigint").alias("n"), F.size("other").cast("bigint").alias("n_hub")]
+    return stored(both.select("hub", "nid", "label", *sizes, F.array_except("own", "other").alias("added"), F.array_except("other", "own").alias("gone")), "differences")
+
+
 def rare_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b), a > b, of members of one hub with different labels that can reach the threshold.
 
@@ -160,26 +171,28 @@ def rare_pairs(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     enough, and then they meet among the first elements of each in any common order: about half of D
     where the other one is not linked, (1 - t) n / t + 1 elements where the other one is.  What the hub
     lacks comes first, rare shingles before common ones, so changes of a text's own meet nothing.
-    Shingles that no other text has, and the sizes, bound what two differences share from above.
+    Shingles that no other member has, and the sizes, bound what two differences share from above.
+    An element whose members all have one label can link nothing new and is left out of the join.
     """
-    nodes = stored(star.select("nid").unionByName(star.select(F.col("hub").alias("nid"))).distinct(), "active")
-
-    rows = stored(sets.join(nodes, "nid").select("nid", F.explode("set").alias("shingle")), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").cast("int").alias("often")).where("often > 1")
-    shared = rows.join(often, "shingle").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
-    full = star.join(sets.select("nid", F.col("set").alias("own")), "nid").join(sets.select(F.col("nid").alias("hub"), F.col("set").alias("other")), "hub").join(shared, "nid", "left")
-    full = full.select("hub", "nid", "label", F.size("own").cast("bigint").alias("n"), F.size("other").cast("bigint").alias("n_hub"), F.array_except("own", "other").alias("added"), F.array_except("other", "own").alias("gone"), F.coalesce(F.col("shared.shingle"), F.array().cast("array<bigint>")).alias("shared"))
-    full = full.withColumn("common", F.array_intersect("shared", "added")).drop("shared")  # rare ones first
-    full = full.withColumns({"more": F.size("common").cast("bigint"), "less": F.size("gone").cast("bigint"), "alone": (F.size("added") - F.size("common")).cast("bigint")})
+    full = differences(star, sets)
+    rows = full.select("hub", "nid", "label", F.explode("added").alias("element"))
+    often = rows.groupBy("hub", "element").agg(F.count("*").cast("int").alias("often")).where("often > 1")
+    common = rows.join(often, ["hub", "element"]).groupBy("hub", "nid").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("common"))
+    full = full.select("hub", "nid", "label", "n", "n_hub", F.size("added").cast("bigint").alias("n_added"), "gone").join(common, ["hub", "nid"], "left")
+    full = full.withColumn("common", F.coalesce(F.col("common.element"), F.array().cast("array<bigint>")))  # rare ones first
+    full = full.withColumns({"more": F.size("common").cast("bigint"), "less": F.size("gone").cast("bigint")}).withColumn("alone", F.col("n_added") - F.col("more"))
     full = full.withColumns({"d": F.expr("more + alone + less"), "linked": F.expr(f"100 * (n - more - alone) >= {percent} * (n + less)")})
     # what D shares at least with that of a similar member, if the one or the other is not linked
     least = F.greatest(F.lit(1), F.ceil((F.col("d") * (100 + percent) - (100 - percent) * (F.col("n") - F.col("n_hub"))) / F.lit(2.0 * (100 + percent))))
     full = full.withColumn("short", F.col("d") - least + 1)
     room = F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", F.least(F.col("d"), F.expr(f"n * {100 - percent} div {percent} + 1"))))
-    # shingles of no other text come first and meet nothing
+    # shingles of no other member come first and meet nothing
     first = F.slice(F.concat("common", "gone"), F.lit(1), F.greatest(F.lit(0), room - F.col("alone")).cast("int"))
     full = full.select("hub", "nid", "label", "n", "d", "more", "less", "linked", F.greatest(F.lit(0), F.col("short") - F.col("alone")).alias("narrow"), F.posexplode(first).alias("k", "element"))
     first = stored(full.withColumn("wide", F.col("k") >= F.col("narrow")).drop("k", "narrow"), "prefixes")
+    # elements at which two components meet; the others can add no link
+    between = first.groupBy("hub", "element").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("hub", "element")
+    first = stored(first.join(between, ["hub", "element"]), "meeting")
     one = lambda c: first.select(F.col("hub").alias(f"h_{c}"), F.col("nid").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("element").alias(f"e_{c}"), *(F.col(x).alias(f"{x}_{c}") for x in ("d", "more", "less", "linked", "wide")))
     # what two differences can share at most, against what similarity t needs them to share
     enough = f"{2 * (100 + percent)} * (least(more_a, more_b) + least(less_a, less_b)) >= {100 + percent} * (d_a + d_b) - {100 - percent} * (n_a + n_b)"
