@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratavox.llm import mixing, neardup, packing, pii, quality
-from stratavox.llm.common import read_table, stored
+from stratavox.llm.common import mark, read_table, release, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written to the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = mark()
+        out = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, keep=1)  # what the stage stored on its way; its own output stays
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
