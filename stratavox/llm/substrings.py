@@ -12,9 +12,9 @@ documents puts one entry a task, not one a document, into a part.
 
 Edge cases, all defined: a null or empty text has no words and keeps the empty text; texts of any
 length are read whole; a null doc_id counts as the smallest; rows with equal doc_id and text are one
-occurrence, so neither goes for the other's sake, and rows with equal doc_id and other texts are
-compared by position (told apart by 16 bits
-of their texts' hashes); an empty table gives an empty result; other columns are not read.
+occurrence, so neither goes for the other's sake; rows with equal doc_id (or none) and other texts are
+documents of their own, in order of the 64-bit hashes of their texts; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -72,6 +72,7 @@ class _Blocks:
     """Keys of a task's windows, dealt into packed blocks by part; repeats inside the task are settled.
 
     A block holds texts (did, tag, number of keys) and per key the position, ``width`` bytes of hash.
+    Tags tell texts of one did apart; where all are 0 none is stored.
     One occurrence of each key, the first, stands for the task; rows with ``part`` < 0 hold positions
     that need no further search: in ``all_repeats`` mode every occurrence of a repeated key, else every
     one but the first.
@@ -91,7 +92,7 @@ class _Blocks:
 
     def _rows(self, part: np.ndarray, text: np.ndarray, pos: np.ndarray, raw: np.ndarray | None) -> pa.RecordBatch:
         """Rows of one block each; the arrays are in order of part, then text."""
-        did, tag = (np.array(x, kind) for x, kind in zip(zip(*self.texts), (np.int64, np.int32)))
+        did, tag = (np.array(x, np.int64) for x in zip(*self.texts))
         cols: dict[str, list] = {f.name: [] for f in BLOCK}
         edges = np.flatnonzero(np.diff(part)) + 1
         for low, high in zip([0, *edges], [*edges, len(part)]):
@@ -101,7 +102,7 @@ class _Blocks:
             own = text[low:high][starts]
             wide = bool(pos[low:high].max() > 0xFFFF)
             values = (
-                int(part[low]), did[own].tobytes(), tag[own].astype("<u2").tobytes(), np.diff(starts, append=high - low).astype("<u4").tobytes(),
+                int(part[low]), did[own].tobytes(), tag_bytes(tag[own]), np.diff(starts, append=high - low).astype("<u4").tobytes(),
                 wide, pos[low:high].astype("<u4" if wide else "<u2").tobytes(), b"" if raw is None else raw[low:high].tobytes(),
             )
             for c, v in zip(cols.values(), values):
@@ -112,13 +113,13 @@ class _Blocks:
         if not self.n:
             return
         text, pos, key, check = (np.concatenate(x) for x in zip(*self.held))
-        did = np.array([x[0] for x in self.texts], np.int64)[text]
-        by = np.lexsort((pos, did, check, key))
+        did, tag = (np.array(x, np.int64)[text] for x in zip(*self.texts))
+        by = np.lexsort((pos, tag, did, check, key))
         same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
         first = np.concatenate([[True], ~same])
         at = np.cumsum(first) - 1
         lead = by[first][at]  # of each sorted row, the first row with its key
-        tie = (did[by] == did[lead]) & (pos[by] == pos[lead])
+        tie = (did[by] == did[lead]) & (tag[by] == tag[lead]) & (pos[by] == pos[lead])
         settled = np.bincount(at)[at] > 1 if self.all_repeats else ~tie
         sent = first if self.all_repeats else tie
         part = ((key >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
@@ -138,7 +139,11 @@ class _Blocks:
 BLOCK = pa.schema([("part", pa.int32()), ("did", pa.binary()), ("tag", pa.binary()), ("n", pa.binary()), ("wide", pa.bool_()), ("pos", pa.binary()), ("keys", pa.binary())])
 BLOCK_DDL = "part int, did binary, tag binary, n binary, wide boolean, pos binary, keys binary"
 PLACES = pa.schema([("home", pa.int32()), *list(BLOCK)[1:-1]])
-TEXTS = pa.schema([("did", pa.int64()), ("tag", pa.int32()), ("pos", pa.list_(pa.int32()))])
+TEXTS = pa.schema([("did", pa.int64()), ("tag", pa.int64()), ("pos", pa.list_(pa.int32()))])
+
+
+def tag_bytes(tag: np.ndarray) -> bytes:
+    return tag.astype("<i8").tobytes() if tag.any() else b""
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +152,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for did, tag, n, wide, pos in zip(*(table.column(k).to_pylist() for k in ("did", "tag", "n", "wide", "pos"))):
         n = np.frombuffer(n, "<u4")
         out[0].append(np.repeat(np.frombuffer(did, np.int64), n))
-        out[1].append(np.repeat(np.frombuffer(tag, "<u2").astype(np.int64), n))
+        out[1].append(np.repeat(np.frombuffer(tag, "<i8") if tag else np.zeros(len(n), np.int64), n))
         out[2].append(np.frombuffer(pos, "<u4" if wide else "<u2").astype(np.int64))
     return tuple(map(np.concatenate, out))
 
@@ -155,7 +160,7 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _pack_homes(did: np.ndarray, tag: np.ndarray, pos: np.ndarray, homes: int) -> pa.Table:
     """Positions packed by the home of their text, one row a home."""
     with np.errstate(over="ignore"):
-        mixed = (did.view(np.uint64) * M2 ^ tag.astype(np.uint64)) * M1
+        mixed = (did.view(np.uint64) * M2 ^ tag.view(np.uint64)) * M1
     home = ((mixed >> np.uint64(33)) % np.uint64(homes)).astype(np.int64)
     by = np.lexsort((pos, tag, did, home))
     did, tag, pos, home = did[by], tag[by], pos[by], home[by]
@@ -168,7 +173,7 @@ def _pack_homes(did: np.ndarray, tag: np.ndarray, pos: np.ndarray, homes: int) -
         starts = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
         wide = bool(q.max() > 0xFFFF)
         rows.append({
-            "home": int(home[low]), "did": d[starts].tobytes(), "tag": t[starts].astype("<u2").tobytes(), "n": np.diff(starts, append=high - low).astype("<u4").tobytes(),
+            "home": int(home[low]), "did": d[starts].tobytes(), "tag": tag_bytes(t[starts]), "n": np.diff(starts, append=high - low).astype("<u4").tobytes(),
             "wide": wide, "pos": q.astype("<u4" if wide else "<u2").tobytes(),
         })
     return pa.Table.from_pylist(rows, schema=PLACES)
@@ -185,7 +190,7 @@ def _search(blocks: DataFrame, width: int, all_repeats: bool, parts: int, name:
         wide = np.zeros((len(raw), 16), np.uint8)
         wide[:, :6], wide[:, 8 : 8 + width - 6] = raw[:, :6], raw[:, 6:]
         key, check = wide.view("<u8").T
-        by = np.lexsort((pos, did, check, key))
+        by = np.lexsort((pos, tag, did, check, key))
         same = (key[by][1:] == key[by][:-1]) & (check[by][1:] == check[by][:-1])
         first = np.concatenate([[True], ~same])
         at = np.cumsum(first) - 1
@@ -193,7 +198,7 @@ def _search(blocks: DataFrame, width: int, all_repeats: bool, parts: int, name:
             hit = by[np.bincount(at)[at] > 1]
         else:
             lead = by[first][at]
-            hit = by[(did[by] != did[lead]) | (pos[by] != pos[lead])]
+            hit = by[(did[by] != did[lead]) | (tag[by] != tag[lead]) | (pos[by] != pos[lead])]
         return _pack_homes(did[hit], tag[hit], pos[hit], parts)
 
     def by_text(table: pa.Table) -> pa.Table:
@@ -202,10 +207,11 @@ def _search(blocks: DataFrame, width: int, all_repeats: bool, parts: int, name:
         did, tag, pos = did[by], tag[by], pos[by]
         starts = np.flatnonzero(np.concatenate([[True], (did[1:] != did[:-1]) | (tag[1:] != tag[:-1])]))
         offsets = pa.array(np.append(starts, len(did)).astype(np.int32))
-        return pa.Table.from_arrays([pa.array(did[starts]), pa.array(tag[starts].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))], schema=TEXTS)
+        return pa.Table.from_arrays([pa.array(did[starts]), pa.array(tag[starts]), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32)))], schema=TEXTS)
 
-    found = blocks.groupBy("part").applyInArrow(find, "home int, did binary, tag binary, n binary, wide boolean, pos binary")
-    return found.groupBy("home").applyInArrow(by_text, "did bigint, tag int, pos array<int>").withColumnRenamed("pos", name)
+    # as many tasks as parts, so that what one of them reads does not grow with the corpus
+    found = blocks.repartition(parts, "part").groupBy("part").applyInArrow(find, "home int, did binary, tag binary, n binary, wide boolean, pos binary")
+    return found.repartition(parts, "home").groupBy("home").applyInArrow(by_text, "did bigint, tag bigint, pos array<int>").withColumnRenamed("pos", name)
 
 
 def repeated_anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -251,9 +257,11 @@ def later_windows(docs: DataFrame, positions: DataFrame, window: int, parts: int
 
 def remove_repeats(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (and kept_text on request)."""
-    docs = docs.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.expr(f"cast(xxhash64(text) & 65535 as int)").alias("tag"))
+    docs = docs.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("did"))
+    unique = docs.groupBy("did").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("tag", F.lit(0).cast("bigint") if unique else F.xxhash64("text"))
     size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     positions = repeated_anchors(docs, window, parts)
     starts = later_windows(docs, positions, window, parts)
 

@@ -124,9 +124,10 @@ def test_und():
 # 4 substrings
 
 
-def brute_repeats(rows, n):
+def brute_repeats(rows, n, tags=None):
+    """``tags``: the order of rows of one doc_id."""
     first, out = {}, {}
-    place = lambda i: (-1 if rows[i][0] is None else rows[i][0])
+    place = lambda i: (-1 if rows[i][0] is None else rows[i][0], tags[i] if tags else 0)
     lists = [words(t) for _, t in rows]
     for i, w in enumerate(lists):
         for s in range(len(w) - n + 1):
@@ -152,7 +153,22 @@ def test_repeats(spark, seed):
     got = defaultdict(list)
     for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect():
         got[x.doc_id].append((x.n_words, x.n_removed, x.kept_sha256))
-    assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows, 20)
+    tags = dict(spark.createDataFrame(rows, "doc_id bigint, text string").select("text", F.xxhash64("text")).distinct().collect())
+    assert {k: sorted(v) for k, v in got.items()} == brute_repeats(rows, 20, [tags[t] for _, t in rows])
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_repeats_without_ids(spark, doc_id):
+    """3,000 texts of one id, or without any: documents of their own, in order of their texts' hashes."""
+    r = random.Random(3)
+    passage = sentence(r, 30)
+    rows = [(doc_id, f"{sentence(r, r.randint(1, 30))} {passage if k % 3 == 0 else ''} {sentence(r, 5)}") for k in range(1500)]
+    rows += [(doc_id, f"{passage} {sentence(r, 3)}") for _ in range(300)] + [(doc_id, sentence(r, 3)) for _ in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    tags = dict(df.select("text", F.xxhash64("text")).collect())
+    got = sorted((x.n_words, x.n_removed, x.kept_sha256) for x in substrings.remove_repeats(df).collect())
+    want = brute_repeats(rows, 20, [tags[t] for _, t in rows])
+    assert got == want[doc_id] and sum(n > 0 for _, n, _ in got) == 799
 
 
 def test_cover():
