@@ -52,7 +52,7 @@ def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with format-preserving pseudonyms for its personal values."""
-    return pii.pseudonymise_texts(read_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise_texts(read_table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

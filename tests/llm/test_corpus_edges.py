@@ -23,7 +23,7 @@ OPERATORS = {
     "mixing": lambda s, d: mixing.mix(d),
     "quality": quality_rows,
     "packing": lambda s, d: packing.pack(d, keep_ids=True),
-    "pii": lambda s, d: pii.pseudonymise_texts(d),
+    "pii": lambda s, d: pii.pseudonymise_texts(d, "k"),
     "warc": lambda s, d: warc.read_bundles(warc.archive(d.selectExpr("doc_id as page_id", "source as url", "text as html")), with_payload=True),
     "neardup": lambda s, d: neardup.near_groups(d),
 }
