@@ -204,6 +204,57 @@ def test_schedule_is_even(spark):
         assert abs(share - 1 / 3) < 3 / n + 0.01
 
 
+@pytest.mark.parametrize("needs", [(1, 1), (1, 999), (3, 50, 1, 7), (1,) * 30, (5, 10_000, 2, 2)])
+def test_every_need_is_met(needs):
+    """Within ``points_needed`` points each interval of length k/n gets k of them."""
+    n = sum(needs)
+    i = np.arange(1, mixing.points_needed(n) + 1)
+    got = np.histogram(i * mixing.GOLDEN % 1.0, np.cumsum([0, *needs]) / n)[0]
+    assert (got >= needs).all()
+
+
+def mixed_rows(seed=4):
+    r = random.Random(seed)
+    return [(i, sentence(r, r.randint(1, 60)), None, s, 1) for i, s in enumerate(["a"] * 150 + ["b"] * 150 + ["c"] * 150)]
+
+
+def test_mix_follows_the_schedule(spark, monkeypatch):
+    """Prefixes of the mix have the sources' shares, and other points give another mix."""
+    df = frame(spark, mixed_rows())
+    got = mixing.mix(df, block_tokens=16).toPandas().dropna(subset="first_slot").sort_values("first_slot")
+    source = got.doc_id // 150
+    total = got.target.groupby(source).first()
+    for n in (60, 120, 200):
+        first = got[got.first_slot < n]
+        share = first["size"].groupby(source).sum() / first["size"].sum()
+        assert (abs(share - total / total.sum()) < 0.12).all(), n
+    before = got.set_index("doc_id")[["taken", "first_slot"]].sort_index()
+    monkeypatch.setattr(mixing, "point", lambda i: F.lit(0.25) + i * 0)
+    after = mixing.mix(df, block_tokens=16).toPandas().set_index("doc_id")
+    assert (after.taken.groupby(after.index // 150).sum() > 0).sum() == 1
+    assert not before.equals(after[["taken", "first_slot"]].dropna().sort_index())
+
+
+def test_mixed_rows_stand_in_slot_order(spark):
+    df = frame(spark, mixed_rows()).withColumn("__n", F.col("doc_id") + 42).withColumn("__mixslots", F.lit("own"))
+    plan = {r.doc_id: r for r in mixing.mix(df, block_tokens=16, keyed=True).collect()}
+    out = mixing.apply_mix(df, block_tokens=16).collect()
+    assert all(r["__n"] == r.doc_id + 42 and r["__mixslots"] == "own" for r in out)
+    seen, want = defaultdict(int), []
+    for r in out:
+        want.append((plan[r.doc_id].slots[seen[r.doc_id]], plan[r.doc_id].start))
+        seen[r.doc_id] += 1
+    assert want == sorted(want) and sum(len(words(r.text)) for r in out) == sum(p.taken for p in plan.values())
+    assert {i: n for i, n in seen.items()} == {i: -(-p.taken // p.size) for i, p in plan.items() if p.taken}
+
+
+def test_rows_without_ids_are_spread(spark):
+    r = random.Random(9)
+    rows = [(None, sentence(r, 5), None, "a", 1) for _ in range(400)]
+    got = mixing.sized_rows(frame(spark, rows), 16, False).groupBy("bucket").count().collect()
+    assert len(got) > 20 and max(x["count"] for x in got) < 50
+
+
 def test_mixed_documents(spark):
     rows = [(1, "a b c", None, "x", 5), (2, "d  e\nf g h", None, "y", 9), (2, "other text here", None, "y", 15)]
     df = frame(spark, rows)
