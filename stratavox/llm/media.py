@@ -1,10 +1,11 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area resizing, NPY tiles and difference hashes.
 
 Decoders take P1-P6 Netpbm (8-bit) and uncompressed BMP of 8, 24 or 32 bits and give (height, width)
-or (height, width, 3) uint8 arrays.  Resizing averages exact areas by means of an integral image.
+or (height, width, 3) uint8 arrays.  Resizing averages exact areas by means of an integral image, which
+is made strip by strip, so that it takes no more memory for a tall picture.
 
 Edge cases, all defined: a null text is an empty payload, i.e. one tile of padding; long texts give
-more tiles (memory is a few times one text); equal texts give equal values; an empty table gives an
+more tiles (a task holds about six times its longest text); equal texts give equal values; an empty table gives an
 empty result; malformed media raise ``ValueError``; columns other than those named are not read.
 """
 
@@ -112,20 +113,36 @@ def decode_image(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over the exact area of each target cell (float64), by an integral image with linear edges."""
-    values = pixels.astype(np.float64)
-    for axis, n in ((0, height), (1, width)):
-        total = np.concatenate([np.zeros_like(np.take(values, [0], axis)), np.cumsum(values, axis)], axis)
-        size = values.shape[axis]
-        edges = np.arange(n + 1) * size / n
-        low = np.minimum(np.floor(edges).astype(int), size)
-        part = edges - low
-        shape = [1] * values.ndim
-        shape[axis] = -1
-        at = np.take(total, low, axis) * (1 - part.reshape(shape)) + np.take(total, np.minimum(low + 1, size), axis) * part.reshape(shape)
-        values = np.diff(at, axis=axis) * (n / size)
-    return values
+def _edges(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n equal cells of an axis begin and end: whole positions and the parts of the next sample."""
+    edges = np.arange(n + 1) * size / n
+    low = np.minimum(np.floor(edges).astype(int), size)
+    return low, edges - low
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int, strip: int = 4096) -> np.ndarray:
+    """Means over the exact area of each target cell (float64), by an integral image with linear edges.
+
+    Only the rows of the integral image at cell edges are kept; they are found ``strip`` rows at a time.
+    """
+    size = pixels.shape[0]
+    low, part = _edges(size, height)
+    part = part.reshape(-1, *[1] * (pixels.ndim - 1))
+    at = np.zeros((height + 1, *pixels.shape[1:]))
+    total = np.zeros(pixels.shape[1:])
+    for start in range(0, size, strip):
+        rows = pixels[start : start + strip].astype(np.float64)
+        here = (low >= start) & (low < start + len(rows))
+        sums = np.concatenate([np.zeros_like(rows[:1]), np.cumsum(rows, 0)])
+        at[here] = total + sums[low[here] - start] + part[here] * rows[low[here] - start]
+        total = total + sums[-1]
+    at[low == size] = total
+    values = np.moveaxis(np.diff(at, axis=0) * (height / size), 1, 0)
+    size = len(values)
+    low, part = _edges(size, width)
+    sums = np.concatenate([np.zeros_like(values[:1]), np.cumsum(values, 0)])
+    at = sums[low] + part.reshape(-1, *[1] * (values.ndim - 1)) * values[np.minimum(low, size - 1)]
+    return np.moveaxis(np.diff(at, axis=0) * (width / size), 0, 1)
 
 
 def difference_hash(pixels: np.ndarray, side: int = 8) -> str:
@@ -162,34 +179,40 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
 READ = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
 
-def make_media(text: str | None) -> tuple[int, bytes]:
-    """Bytes of the text, and NPY tiles of its decoded grey image."""
+def make_media(text: str | None) -> tuple[int, bytes, bytes]:
+    """Bytes of the text, NPY tiles of its decoded grey image and the NPY tile that the whole image is resized to.
+
+    The image comes as BMP where its tiles are odd in number, else as Netpbm.
+    """
     payload, n = text_payload(text)
-    picture = decode_image(encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, SIDE)))
-    return n, npy_bytes(to_tiles(picture))
+    grey = np.frombuffer(payload, np.uint8).reshape(-1, SIDE)
+    picture = decode_image((encode_bmp if len(grey) // SIDE % 2 else encode_pgm)(grey))
+    del payload, grey
+    small = np.rint(area_resize(picture, SIDE, SIDE)).astype(np.uint8)
+    return n, npy_bytes(to_tiles(picture)), npy_bytes(small)
 
 
-def media_values(media: bytes) -> tuple:
-    """The columns of ``READ`` from stored tiles."""
+def media_values(media: bytes, small: bytes) -> tuple:
+    """The columns of ``READ`` from stored tiles and the stored resized tile."""
     tiles = npy_array(media)
-    back = tiles.tobytes()
+    back = memoryview(np.ascontiguousarray(tiles)).cast("B")
     return (
         len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(),
-        f"{tiles.shape[0]}x{SIDE}x{SIDE}:{difference_hash(tiles.reshape(-1, SIDE))}",
+        f"{tiles.shape[0]}x{SIDE}x{SIDE}:{difference_hash(tiles.reshape(-1, SIDE))}:{difference_hash(npy_array(small))}",
     )
 
 
 def write_media(docs: DataFrame) -> DataFrame:
-    """Texts as media: doc_id, n_bytes and ``media``, a grey image one tile wide as NPY tiles."""
+    """Texts as media: doc_id, n_bytes, ``media``, a grey image one tile wide as NPY tiles, and ``small``, all of it in one tile."""
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
-            made = [make_media(text) for text in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]}
+            made = [make_media(text.as_py()) for text in batch.column("text")]
+            return {"doc_id": batch.column("doc_id"), "n_bytes": [n for n, _, _ in made], "media": [m for _, m, _ in made], "small": [m for _, _, m in made]}
 
         return kernel
 
-    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, n_bytes bigint, media binary", make, rows=128)
+    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, n_bytes bigint, media binary, small binary", make, rows=128)
 
 
 def read_media(table: DataFrame, keep_bytes: bool = True) -> DataFrame:
@@ -197,7 +220,7 @@ def read_media(table: DataFrame, keep_bytes: bool = True) -> DataFrame:
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
-            values = zip(*map(media_values, batch.column("media").to_pylist()))
+            values = zip(*(media_values(a.as_py(), b.as_py()) for a, b in zip(batch.column("media"), batch.column("small"))))
             names = [x.split()[0] for x in READ.split(", ")]
             return {**{k: batch.column(k) for k in ("doc_id", "n_bytes", "media")}, **dict(zip(names, map(list, values)))}
 
@@ -211,6 +234,6 @@ def store_media(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
 
     Gives doc_id, n_bytes, the stored ``media`` (unless ``keep_bytes`` is false) and what is read back
     from it: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and ``feature``
-    (``tiles x 24 x 24:`` and the difference hash of the whole image).
+    (``tiles x 24 x 24:`` and the difference hashes of the whole image and of the tile it is resized to).
     """
     return read_media(stored(write_media(docs), "media"), keep_bytes)
