@@ -27,6 +27,8 @@ from .common import held_out, map_batches
 DIM = 1 << 13
 #: Labelled documents a language that the machines are fitted on, at most.
 MAX_PER_LANGUAGE = 300
+#: Parts of a language that are ranked on their own before the whole is.
+PARTS = 16
 #: Language families by ISO 639-1 code.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv"),
@@ -80,21 +82,26 @@ def ngram_features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, values / np.linalg.norm(values)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
+#: A row of features: buckets and their values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def fit_svm(x: list[Sparse], y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine (hinge loss) by dual coordinate descent; last is the bias."""
     n = len(y)
-    squares = (x * x).sum(1) + 1
-    alpha, w = np.zeros(n), np.zeros(x.shape[1] + 1)
+    squares = [float(v @ v) + 1 for _, v in x]
+    alpha, w = np.zeros(n), np.zeros(DIM + 1)
     rng = np.random.default_rng(seed)
     upper = c * n / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w[:-1] + w[-1]) - 1
+            at, v = x[i]
+            g = y[i] * (v @ w[at] + w[-1]) - 1
             new = min(max(alpha[i] - g / squares[i], 0.0), upper[i])
             d = (new - alpha[i]) * y[i]
             if d:
-                w[:-1] += d * x[i]
+                w[at] += d * v
                 w[-1] += d
                 alpha[i] = new
                 moved = max(moved, abs(d))
@@ -153,14 +160,14 @@ def fit_languages(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageMod
     """rows: (language, buckets, values)."""
     if not rows:
         return LanguageModel()
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, (_, at, v) in enumerate(rows):
-        x[i, at] = v
+    x = [(at, v) for _, at, v in rows]
     lang = np.array([r[0] for r in rows])
     centroids = {}
     for code in sorted(set(lang)):
-        c = x[lang == code].mean(0)
-        centroids[code] = c / max(1e-9, float(np.linalg.norm(c)))
+        total = np.zeros(DIM)
+        for i in np.flatnonzero(lang == code):
+            total[x[i][0]] += x[i][1]
+        centroids[code] = total / max(1e-9, float(np.linalg.norm(total)))
     members = group_families(centroids)
     family_of = {code: f for f, codes in members.items() for code in codes}
     family = np.array([family_of[code] for code in lang])
@@ -169,8 +176,8 @@ def fit_languages(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageMod
         model.rest = {f: fit_svm(x, np.where(family == f, 1.0, -1.0)) for f in members}
     for langs in members.values():
         for a, b in combinations(langs, 2):
-            own = (lang == a) | (lang == b)
-            model.pairs[a, b] = fit_svm(x[own], np.where(lang[own] == a, 1.0, -1.0))
+            own = np.flatnonzero((lang == a) | (lang == b))
+            model.pairs[a, b] = fit_svm([x[i] for i in own], np.where(lang[own] == a, 1.0, -1.0))
     return model
 
 
@@ -180,9 +187,12 @@ def sample_and_fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> Lan
     Whole texts give the features; each text of more than 40 words also gives those of 12 of its words,
     so that short texts are learned too.  Only n-gram counts of the sample reach the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select("doc_id", "lang").distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own"))
+    chosen = chosen.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):  # parts of a language first, so that a common one is ranked by many tasks
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    chosen = chosen.select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own"))
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
