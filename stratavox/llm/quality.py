@@ -26,8 +26,10 @@ SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 26
 #: Lines in a training segment; longer texts are cut into several segments for fitting only.
 SEGMENT = 64
-#: Documents that the chain is fitted on, at most.
-MAX_TRAIN_DOCS = 3000
+#: Documents that the chain is fitted on, at most, and segments of one of them.
+MAX_TRAIN_DOCS, MAX_SEGMENTS = 3000, 4
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS, DIGITS = UPPER + UPPER.lower(), b"0123456789"
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -77,18 +79,20 @@ def line_features(lines: list[bytes]) -> tuple[list[list[int]], list[int]]:
     for line in lines:
         words = line.split()
         n, size = len(words), max(1, len(line))
-        text = line.decode("utf-8", "replace")
-        capitals = sum(map(str.isupper, text))
-        letters = sum(map(str.isalpha, text)) or 1
+        if line.isascii():
+            capitals, letters, digits = (size - len(line.translate(None, x)) for x in (UPPER, LETTERS, DIGITS))
+        else:
+            text = line.decode("utf-8", "replace")
+            capitals, letters, digits = (sum(map(test, text)) for test in (str.isupper, str.isalpha, str.isdigit))
         active = [0]
         active.append(1 + _level((size - len(line.translate(None, SYMBOLS))) / size, (1e-9, 0.02, 0.06, 0.12)))
-        active.append(6 + _level(capitals / letters, (0.02, 0.1, 0.3, 0.6)))
+        active.append(6 + _level(capitals / (letters or 1), (0.02, 0.1, 0.3, 0.6)))
         active.append(11 + _level(n, (2, 4, 8, 20)))
         active.append(16 + _level(len(set(words)) / max(1, n), (0.4, 0.6, 0.8)))
         active.append(20 + _level(line.count(b"!") / max(1, n), (0.05, 0.5)))
         if line in seen:
             active.append(23)
-        if sum(map(str.isdigit, text)) / size > 0.2:
+        if digits / size > 0.2:
             active.append(24)
         if line.rstrip(WHITE)[-1:] in (b".", b"!", b"?", b":", b";"):
             active.append(25)
@@ -126,9 +130,37 @@ class ChainCRF:
             states.append(step[states[-1]])
         return states[::-1]
 
+    def objective(self, x: np.ndarray, mask: np.ndarray, gold: np.ndarray, weight: np.ndarray, l2: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Weighted conditional log-likelihood of segments whose lines all have one state, less the ridge; its gradients.
+
+        ``x`` (segments, lines, features), ``mask`` tells lines from padding, ``weight`` is that of a line.
+        """
+        n, longest = mask.shape
+        em, tr = x @ self.emission, self.transition
+        alpha, beta = np.zeros_like(em), np.zeros_like(em)
+        alpha[:, 0] = em[:, 0]
+        for j in range(1, longest):
+            step = np.logaddexp(alpha[:, j - 1, 0, None] + tr[0], alpha[:, j - 1, 1, None] + tr[1]) + em[:, j]
+            alpha[:, j] = np.where(mask[:, j, None], step, alpha[:, j - 1])
+        for j in range(longest - 2, -1, -1):
+            nxt = em[:, j + 1] + beta[:, j + 1]
+            step = np.logaddexp(tr[:, 0] + nxt[:, 0, None], tr[:, 1] + nxt[:, 1, None])
+            beta[:, j] = np.where(mask[:, j + 1, None], step, 0)
+        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+        lines, own = mask.sum(1), np.arange(n)
+        path = (em[own, :, gold] * mask).sum(1) + (lines - 1) * tr[gold, gold]
+        value = float(weight @ (path - z)) - l2 / 2 * float((self.emission**2).sum() + (tr**2).sum())
+        p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
+        diff = (np.eye(2)[gold][:, None, :] * mask[:, :, None] - p) * weight[:, None, None]
+        g_em = np.tensordot(x, diff, ((0, 1), (0, 1))) - l2 * self.emission
+        seen, both = np.zeros((2, 2)), mask[:, 1:]
+        np.add.at(seen, (gold, gold), (lines - 1) * weight)
+        pair = np.exp(alpha[:, :-1, :, None] + tr + (em + beta)[:, 1:, None, :] - z[:, None, None, None]) * (both * weight[:, None])[:, :, None, None]
+        return value, g_em, seen - pair.sum((0, 1)) - l2 * tr
+
     @classmethod
-    def fit(cls, rows: Iterable[tuple[int, list[list[int]]]], rounds: int = 80, l2: float = 1e-3) -> ChainCRF:
-        """Gradient ascent on the conditional log-likelihood; rows are (label, line features)."""
+    def fit(cls, rows: Iterable[tuple[int, list[list[int]]]], rounds: int = 80, l2: float = 1e-3, settled: float = 1e-4) -> ChainCRF:
+        """Gradient ascent until the value grows by less than ``settled`` of itself in a round; rows are (label, line features)."""
         segments = [(y, f[i : i + SEGMENT]) for y, f in rows for i in range(0, len(f), SEGMENT)]
         if not segments or len({y for y, _ in segments}) < 2:
             return cls()
@@ -141,43 +173,31 @@ class ChainCRF:
             for j, active in enumerate(f):
                 x[i, j, active] = 1
         # both labels weigh the same, whatever their share of the sample
-        weight = np.where(gold == 1, 0.5 / max(1, mask[gold == 1].sum()), 0.5 / max(1, mask[gold == 0].sum()))[:, None]
-        both = mask[:, 1:]
-        model, moments = cls(), [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))]
-        lengths = mask.sum(1)
-        hot = np.eye(2)[gold]
+        weight = np.where(gold == 1, 0.5 / max(1, mask[gold == 1].sum()), 0.5 / max(1, mask[gold == 0].sum()))
+        model, moments, before = cls(), [np.zeros((N_FEATURES, 2)), np.zeros((2, 2))], -np.inf
         for _ in range(rounds):
-            em = x @ model.emission
-            tr = model.transition
-            alpha, beta = np.zeros_like(em), np.zeros_like(em)
-            alpha[:, 0] = em[:, 0]
-            for j in range(1, longest):
-                step = np.logaddexp(alpha[:, j - 1, 0, None] + tr[0], alpha[:, j - 1, 1, None] + tr[1]) + em[:, j]
-                alpha[:, j] = np.where(mask[:, j, None], step, alpha[:, j - 1])
-            for j in range(longest - 2, -1, -1):
-                nxt = em[:, j + 1] + beta[:, j + 1]
-                step = np.logaddexp(tr[:, 0] + nxt[:, 0, None], tr[:, 1] + nxt[:, 1, None])
-                beta[:, j] = np.where(mask[:, j + 1, None], step, 0)
-            z = np.logaddexp(alpha[np.arange(n), lengths - 1, 0], alpha[np.arange(n), lengths - 1, 1])
-            p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-            diff = (hot[:, None, :] * mask[:, :, None] - p) * weight[:, :, None]
-            g_em = np.einsum("njf,njs->fs", x, diff) - l2 * model.emission
-            g_tr = np.zeros((2, 2))
-            if longest > 1:
-                pair = np.exp(alpha[:, :-1, :, None] + tr + (em + beta)[:, 1:, None, :] - z[:, None, None, None]) * (both[:, :, None, None] * weight[:, :, None, None])
-                seen = np.zeros((2, 2))
-                np.add.at(seen, (gold, gold), (both.sum(1)[:, None] * weight)[:, 0])
-                g_tr = seen - pair.sum((0, 1)) - l2 * tr
-            for k, g in enumerate((g_em, g_tr)):
+            value, *gradients = model.objective(x, mask, gold, weight, l2)
+            if abs(value - before) < settled * abs(value):
+                break
+            before = value
+            for k, g in enumerate(gradients):
                 moments[k] += g * g
                 (model.emission, model.transition)[k][...] += 0.4 * g / (np.sqrt(moments[k]) + 1e-8)
         return model
 
 
+def segments_of(features: list, most: int = MAX_SEGMENTS) -> list:
+    """All lines of a short text; of a long one ``most`` whole segments, spread evenly over it."""
+    n = -(-len(features) // SEGMENT)
+    if n <= most:
+        return features
+    return [f for k in range(most) for f in features[k * (n - 1) // (most - 1) * SEGMENT :][:SEGMENT]]
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> ChainCRF:
-    """Fit on at most ``max_docs`` labelled documents outside the held-out fold, chosen by hash.
+    """Fit on at most ``max_docs`` labelled documents outside the held-out fold, chosen by hash, and ``MAX_SEGMENTS`` segments of each.
 
-    Only the active feature numbers of these documents' lines reach the driver.
+    Only the active feature numbers of these segments' lines reach the driver.
     """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
@@ -187,13 +207,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
-            found = [line_features(base_counts(t)[5])[0] for t in batch.column("text").to_pylist()]
+            found = [segments_of(line_features(base_counts(t)[5])[0]) for t in batch.column("text").to_pylist()]
             return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "features": found}
 
         return kernel
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    got = map_batches(rows, "doc_id bigint, quality int, features array<array<int>>", make).collect()
+    got = map_batches(rows, "doc_id bigint, quality int, features array<array<int>>", make, rows=64).collect()
     once = {r.doc_id: r for r in sorted(got, key=lambda r: (r.doc_id, r.quality, len(r.features)))}
     return ChainCRF.fit([(int(r.quality > 0), r.features) for r in once.values() if r.features])
 
@@ -221,21 +241,21 @@ def score_quality(docs: DataFrame, model: ChainCRF, min_words: int = 20, max_rep
     return map_batches(docs.select("doc_id", "text"), schema, make)
 
 
-def filter_quality(docs: DataFrame, model: ChainCRF, **rules) -> DataFrame:
+def filter_quality(docs: DataFrame, model: ChainCRF, min_words: int = 20, max_repeat_percent: int = 30, min_content_share: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that the rules and the chain keep; runs in place, without a join."""
-    rules = {"min_words": 20, "max_repeat_percent": 30, "min_content_share": 0.5} | rules
+
+    def keeps(text: str | None) -> bool:
+        n, _, _, _, repeats, lines = base_counts(text)
+        if n < min_words or 100 * repeats > max_repeat_percent * n:
+            return False
+        features, sizes = line_features(lines)
+        return sum(s for s, y in zip(sizes, model.viterbi(features)) if y) / n >= min_content_share
 
     def run(batches):
         for batch in batches:
-            mask = []
-            for text in batch.column("text").to_pylist():
-                n, _, _, _, repeats, lines = base_counts(text)
-                keep = n >= rules["min_words"] and 100 * repeats <= rules["max_repeat_percent"] * n
-                if keep:
-                    features, sizes = line_features(lines)
-                    share = sum(s for s, y in zip(sizes, model.viterbi(features)) if y) / n
-                    keep = share >= rules["min_content_share"]
-                mask.append(keep)
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                # text by text, so that no list of all of them is held
+                yield some.filter(pa.array([keeps(t.as_py()) for t in some.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
