@@ -27,23 +27,77 @@ def test_queries_equal_sql(name, spark, sf, duck):
 # 1 toxicity
 
 
+def plain_marks(symbols):
+    """What the machine writes, by rules over positions in place of states."""
+    out = list(symbols)
+    clause = lambda k: max((j for j in range(k) if symbols[j] in "cs/"), default=-1)
+    near = lambda k, letters, n, there=symbols: any(there[j] in letters for j in range(max(clause(k) + 1, k - n), k))
+    for k, s in enumerate(symbols):
+        line = max((j for j in range(k) if symbols[j] == "/"), default=-1)
+        stop = max((j for j in range(k) if symbols[j] in "s/"), default=-1)
+        quoted = sum(symbols[j] == "q" for j in range(line + 1, k)) % 2 == 1
+        told = quoted or "r" in symbols[stop + 1 : k]
+        if told and s in "itph":
+            out[k] = {"i": "k", "t": "v"}.get(s, "x")
+        elif near(k, "n", 3) and s in "itph":
+            out[k] = {"i": "j", "t": "u"}.get(s, "x")
+        elif s == "i" and near(k, "y", 4):
+            out[k] = "I"
+    return "".join(out)
+
+
 def test_transducers():
-    run = toxicity.MACHINE.run
+    run = lambda s: toxicity.ToxicityModel().machine.run(s)[0]
     assert run("xix") == "xix"
     assert run("nxi") == "nxj"  # not an idiot
-    assert run("rxyxi")[-1] == "k"  # he said you are an idiot
+    assert run("rxyxi")[-1] == "k" == run("rcyxi")[-1] == run("rcqyxi")[-1]  # he said you are an idiot; he said: you ..
+    assert run("rcqyisyi")[4] == run("rcqyisyi")[7] == "k"  # he wrote: "you idiot. you idiot
+    assert run("rxsyi")[-1] == "I" == run("q/yi")[-1]  # reports end with the sentence, quotes with the line
     assert run("yxi") == "yxI"  # you idiot
+    assert run("ixy") == "ixa" and run("yiy") == "yIy" and run("isy") == "isy"  # idiot, you
     assert run("qiq")[1] == "k"
     assert run("txy") == "txT"  # kill them
-    assert run("nt") == "nu"
+    assert run("nt") == "nu" and run("ntxy") == "nuxy"
+    assert run("yxbp") == "yxbP" and run("yxxp") == "yxxp" and run("hy") == "hH" and run("nhy") == "nxy"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("xxitnryqcs/ph", max_size=14))
+def test_machine_by_definition(symbols):
+    """Reported speech, negation and targets before an insult, over any symbols; the other marks keep their places."""
+    got, weights = toxicity.ToxicityModel().machine.run(symbols)
+    for g, want, w in zip(got, plain_marks(symbols), weights, strict=True):
+        assert g == want or want == "y" and g in "aTH"
+        assert w == toxicity.FACTORS.get(g, 0.0)
 
 
 def test_clause_order_of_scores():
     m = toxicity.ToxicityModel()
     score = lambda t: m.score(m.clauses(t))
-    assert score("you idiot") > score("an idiot came") > score('he said "an idiot"') > score("all is well") == score("") == score(None)
+    assert score("you idiot") == score("idiot, you") > score("an idiot came") > score('he said "an idiot"') > score("all is well") == score("") == score(None)
     assert score("not an idiot") < score("an idiot came")
     assert score("I will kill you") > score("kill the process")
+    assert score("He said: you idiot") == score("He said you idiot") < score("you idiot")
+    assert m.clauses('He wrote: "You idiot. You moron."') == [m.factors["k"]] * 2
+    assert min(score("I hate you"), score("you should be killed")) > score("all is well")
+
+
+def test_scores_by_definition_of_the_curve(spark, sf):
+    """Scores again from the model's parts: words, factors and curve."""
+    docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    for r in toxicity.score_texts(docs, model).join(docs, "doc_id").collect():
+        sums = [sum(model.factors[m] * w for m, w in x.items()) for x in model.marked(r.text)]
+        z = model.curve[0] + (model.curve[1] * min(4, max(sums)) + model.curve[2] * min(4, np.log(1 + sum(sums))) if sums else 0)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and r.n_clauses == len(sums)
+
+
+def test_factors_follow_the_folds():
+    """A mark of toxic texts that weighs less than a word of clean ones rises; one that few texts have stays."""
+    kinds = [([{"k": 1.0}], 1), ([{"i": 0.5}], 0), ([{"i": 1.0}], 1)]
+    texts = [(k // 3 % 2, *kinds[k % 3]) for k in range(900)] + [(k % 2, [{"H": 1.0}], 1) for k in range(10)]
+    got = toxicity.fit_factors(texts)
+    assert got["k"] > toxicity.FACTORS["k"] and got["H"] == toxicity.FACTORS["H"]
 
 
 def test_toxicity_on_held_out(spark, sf):
