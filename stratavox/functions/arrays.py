@@ -99,15 +99,16 @@ def at_least(mask: np.ndarray, n: int) -> np.ndarray:
     return np.where(np.bincount(comp.ravel())[comp] >= n, np.asarray(mask), 0)
 
 
-def propagate(seeds: np.ndarray, cost, where: np.ndarray | None = None, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def propagate(seeds: np.ndarray, cost, where: np.ndarray | None = None, rounds: int | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distance, label) from non-zero seeds over the 26 neighbours; ``cost(step)`` is an array of step costs.
 
     Relaxes all steps at once until nothing changes (or ``rounds`` times); of equal distances the
-    smaller label wins, so the result does not depend on any order.
+    smaller label wins, so the result does not depend on any order.  ``start`` gives the seeds distances of
+    their own; ``where`` then tells alone which voxels may change.
     """
     lab = np.asarray(seeds).astype(np.int64)
-    dist = np.where(lab != 0, 0.0, np.inf)
-    allowed = np.ones(lab.shape, bool) if where is None else (np.asarray(where) != 0) | (lab != 0)
+    dist = np.where(lab != 0, 0.0, np.inf) if start is None else np.asarray(start, float)
+    allowed = np.ones(lab.shape, bool) if where is None else (np.asarray(where) != 0) | ((lab != 0) & (start is None))
     old = np.seterr(invalid="ignore")  # infinite distances are compared with each other
     while rounds is None or rounds > 0:
         before = dist.copy(), lab.copy()
@@ -133,14 +134,15 @@ def nearest_label(seeds: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return propagate(seeds, lambda s: np.sqrt(sum(map(abs, s))), where=mask)[1]
 
 
-def geodesic(image: np.ndarray, seeds: np.ndarray, lam: float) -> np.ndarray:
-    """Distance with step cost (1 - lam) d + lam (difference of intensity)**2."""
+def geodesic_cost(image: np.ndarray, lam: float):
+    """Step costs (1 - lam) d + lam (difference of intensity)**2."""
     image = np.asarray(image, float)
+    return lambda step: (1 - lam) * np.sqrt(sum(map(abs, step))) + lam * (shifted(image, step, 0.0) - image) ** 2
 
-    def cost(step):
-        return (1 - lam) * np.sqrt(sum(map(abs, step))) + lam * (shifted(image, step, 0.0) - image) ** 2
 
-    return propagate(np.asarray(seeds) != 0, cost)[0]
+def geodesic(image: np.ndarray, seeds: np.ndarray, lam: float) -> np.ndarray:
+    """Distance with the costs of ``geodesic_cost``."""
+    return propagate(np.asarray(seeds) != 0, geodesic_cost(image, lam))[0]
 
 
 def geodesic_segment(image: np.ndarray, seeds: np.ndarray, lam: float) -> np.ndarray:

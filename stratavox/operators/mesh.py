@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import formats
-from ..volume import AT, KEY, arrow_schema, by_volume, neighbour
+from ..volume import AT, KEY, arrow_schema
+from .stencil import NAMES, with_faces
 
 
 def label_ordinals(df: DataFrame, label: str = "lab") -> DataFrame:
@@ -18,16 +19,9 @@ def label_ordinals(df: DataFrame, label: str = "lab") -> DataFrame:
 
 def surface_quads(df: DataFrame, label: str = "lab") -> DataFrame:
     """One row a voxel face on the outside of its label: axis and side (-1 or 1)."""
-    rows = by_volume(df)
-    parts = []
-    for i, a in enumerate(AT):
-        for side in (-1, 1):
-            other = F.coalesce(neighbour(label, a, side), F.lit(0))
-            parts.append(rows.withColumn("__o", other).where((F.col(label) != 0) & (F.col("__o") != F.col(label))).select(*KEY, *AT, label, F.lit(i).alias("axis"), F.lit(side).alias("side")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    sides = F.array(*(F.struct(F.lit(i // 2).alias("axis"), F.lit(2 * (i % 2) - 1).alias("side"), F.coalesce(F.col(n), F.lit(0)).alias("other")) for i, n in enumerate(NAMES)))
+    rows = with_faces(df, label).where(F.col(label) != 0).select(*KEY, *AT, label, F.inline(sides))
+    return rows.where(F.col("other") != F.col(label)).drop("other")
 
 
 def surface_area(df: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), label: str = "lab") -> DataFrame:

@@ -1,6 +1,7 @@
 """Components, cleaning, filling, distances, contours and walks over blocks.
 
-One block a volume runs as one kernel call.  ``components_large`` labels blocks on their own and joins
+One block a volume runs as one kernel call; volumes of several blocks raise there, and are settled between
+blocks (``tiled``) where an edge is given.  ``components_large`` labels blocks on their own and joins
 them by their touching faces, so a volume of any size needs only as much memory as a block; local
 operators take a halo (``to_blocks(..., halo=...)``) as wide as they reach.
 """
@@ -14,44 +15,54 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..volume import AT, BLOCK, KEY, map_rows, map_volumes, to_blocks, to_voxels
+from . import tiled
 from .graph import graph_components, written
 
 LONGS = "array<bigint>"
 
 
-def components(blocks: DataFrame, column: str = "data") -> DataFrame:
-    """Blocks of component numbers, 1 on in raster order, of face-connected equal non-zero values."""
-    return map_volumes(blocks, arrays.components, (column,), LONGS)
+#: Axes that a block must hold from end to end for a kernel on whole volumes.
+WHOLE = ("z", "y", "x")
 
 
-def clean(blocks: DataFrame, threshold: float, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.clean(a.astype(np.int64), threshold), (column,), LONGS)
+def components(blocks: DataFrame, column: str = "data", edge: int | None = None) -> DataFrame:
+    """Blocks of component numbers, 1 on in raster order, of face-connected equal non-zero values.
+
+    With ``edge``, here and below, volumes are cut into blocks of that edge and settled between them.
+    """
+    return tiled.components(blocks, column, edge) if edge else map_volumes(blocks, arrays.components, (column,), LONGS, WHOLE)
+
+
+def clean(blocks: DataFrame, threshold: float, column: str = "data", edge: int | None = None) -> DataFrame:
+    return tiled.clean(blocks, threshold, column, edge) if edge else map_volumes(blocks, lambda a: arrays.clean(a.astype(np.int64), threshold), (column,), LONGS, WHOLE)
 
 
-def fill(blocks: DataFrame, threshold: float, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.fill(a.astype(np.int64), threshold), (column,), LONGS)
+def fill(blocks: DataFrame, threshold: float, column: str = "data", edge: int | None = None) -> DataFrame:
+    return tiled.fill(blocks, threshold, column, edge) if edge else map_volumes(blocks, lambda a: arrays.fill(a.astype(np.int64), threshold), (column,), LONGS, WHOLE)
 
 
-def clean_fast(blocks: DataFrame, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, arrays.largest, (column,), LONGS)
+def clean_fast(blocks: DataFrame, column: str = "data", edge: int | None = None) -> DataFrame:
+    return tiled.largest(blocks, column, edge) if edge else map_volumes(blocks, arrays.largest, (column,), LONGS, WHOLE)
 
 
-def fill_fast(blocks: DataFrame, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, arrays.fill_all, (column,), LONGS)
+def fill_fast(blocks: DataFrame, column: str = "data", edge: int | None = None) -> DataFrame:
+    return tiled.fill_all(blocks, column, edge) if edge else map_volumes(blocks, arrays.fill_all, (column,), LONGS, WHOLE)
 
 
-def at_least(blocks: DataFrame, n: int, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.at_least(a.astype(np.int64), n), (column,), LONGS)
+def at_least(blocks: DataFrame, n: int, column: str = "data", edge: int | None = None) -> DataFrame:
+    return tiled.at_least(blocks, n, column, edge) if edge else map_volumes(blocks, lambda a: arrays.at_least(a.astype(np.int64), n), (column,), LONGS, WHOLE)
 
 
-def cleaned_filled(blocks: DataFrame, threshold: float, column: str = "data") -> DataFrame:
+def cleaned_filled(blocks: DataFrame, threshold: float, column: str = "data", edge: int | None = None) -> DataFrame:
     """Cleaned labels, with filled holes added where cleaning left nothing."""
+    if edge:
+        return tiled.cleaned_filled(blocks, threshold, column, edge)
 
     def both(a: np.ndarray) -> np.ndarray:
         a = a.astype(np.int64)
         return arrays.clean(a, threshold) + (arrays.fill(a, threshold) - a)
 
-    return map_volumes(blocks, both, (column,), LONGS)
+    return map_volumes(blocks, both, (column,), LONGS, WHOLE)
 
 
 def components_large(voxels: DataFrame, label: str = "lab", edge: int = 64) -> DataFrame:
@@ -77,36 +88,44 @@ def components_large(voxels: DataFrame, label: str = "lab", edge: int = 64) -> D
     return rows.join(first.select(*KEY, "root", "component"), [*KEY, "root"]).select(*KEY, *AT, label, "component")
 
 
-def chamfer(blocks: DataFrame, column: str = "data", rounds: int | None = None) -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.chamfer(a, rounds), (column,))
+def chamfer(blocks: DataFrame, column: str = "data", rounds: int | None = None, edge: int | None = None) -> DataFrame:
+    if edge and rounds is None:
+        return tiled.settle(blocks, edge, column).select(*tiled.PLACE, F.col("dist").alias("data"))
+    return map_volumes(blocks, lambda a: arrays.chamfer(a, rounds), (column,), whole=WHOLE)
 
 
-def geodesic(blocks: DataFrame, lam: float, image: str = "data", seeds: str = "seeds") -> DataFrame:
-    return map_volumes(blocks, lambda a, s: arrays.geodesic(a, s, lam), (image, seeds))
+def geodesic(blocks: DataFrame, lam: float, image: str = "data", seeds: str = "seeds", edge: int | None = None) -> DataFrame:
+    if edge:
+        return tiled.settle(blocks, edge, seeds, image, lam=lam).select(*tiled.PLACE, F.col("dist").alias("data"))
+    return map_volumes(blocks, lambda a, s: arrays.geodesic(a, s, lam), (image, seeds), whole=WHOLE)
 
 
-def geodesic_segment(blocks: DataFrame, lam: float, image: str = "data", seeds: str = "seeds") -> DataFrame:
-    return map_volumes(blocks, lambda a, s: arrays.geodesic_segment(a, s.astype(np.int64), lam), (image, seeds), LONGS)
+def geodesic_segment(blocks: DataFrame, lam: float, image: str = "data", seeds: str = "seeds", edge: int | None = None) -> DataFrame:
+    if edge:
+        return tiled.settle(blocks, edge, seeds, image, lam=lam).select(*tiled.PLACE, F.col("lab").alias("data"))
+    return map_volumes(blocks, lambda a, s: arrays.geodesic_segment(a, s.astype(np.int64), lam), (image, seeds), LONGS, WHOLE)
 
 
-def nearest_label(blocks: DataFrame, seeds: str = "seeds", mask: str = "mask") -> DataFrame:
-    return map_volumes(blocks, lambda s, m: arrays.nearest_label(s.astype(np.int64), m), (seeds, mask), LONGS)
+def nearest_label(blocks: DataFrame, seeds: str = "seeds", mask: str = "mask", edge: int | None = None) -> DataFrame:
+    if edge:
+        return tiled.settle(blocks, edge, seeds, where=mask).select(*tiled.PLACE, F.col("lab").alias("data"))
+    return map_volumes(blocks, lambda s, m: arrays.nearest_label(s.astype(np.int64), m), (seeds, mask), LONGS, WHOLE)
 
 
 def curvature_flow(blocks: DataFrame, steps: int, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.curvature_flow(a, steps), (column,))
+    return map_volumes(blocks, lambda a: arrays.curvature_flow(a, steps), (column,), whole=WHOLE)
 
 
 def evolve(blocks: DataFrame, alpha: float = 1.0, labels: str = "labels", image: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda l, a: arrays.evolve(l, a, alpha), (labels, image), LONGS)
+    return map_volumes(blocks, lambda l, a: arrays.evolve(l, a, alpha), (labels, image), LONGS, whole=WHOLE)
 
 
 def smooth_masks(blocks: DataFrame, steps: int = 1, column: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda a: arrays.smooth_mask(a, steps).astype(np.int64), (column,), LONGS)
+    return map_volumes(blocks, lambda a: arrays.smooth_mask(a, steps).astype(np.int64), (column,), LONGS, whole=WHOLE)
 
 
 def active_contour(blocks: DataFrame, steps: int = 6, smooth: int = 1, alpha: float = 1.0, labels: str = "labels", image: str = "data") -> DataFrame:
-    return map_volumes(blocks, lambda l, a: arrays.active_contour(l, a, steps, smooth, alpha), (labels, image), LONGS)
+    return map_volumes(blocks, lambda l, a: arrays.active_contour(l, a, steps, smooth, alpha), (labels, image), LONGS, whole=WHOLE)
 
 
 def resize(blocks: DataFrame, shape: tuple[int, int, int], column: str = "data") -> DataFrame:
@@ -226,7 +245,7 @@ def label_particles(blocks: DataFrame, min_size: int, mask: str = "mask", bounda
             out[(filled != 0) & (out == 0)] = new
         return out
 
-    return map_volumes(blocks, particles, (mask, boundary), LONGS)
+    return map_volumes(blocks, particles, (mask, boundary), LONGS, WHOLE)
 
 
 def remove_container(blocks: DataFrame, column: str = "data", width: int = 10, grid: int = 15) -> DataFrame:
@@ -240,7 +259,7 @@ def remove_container(blocks: DataFrame, column: str = "data", width: int = 10, g
             out[z][np.sqrt((y - cy) ** 2 + (x - cx) ** 2) > r] = 0
         return out
 
-    return map_volumes(blocks, inside, (column,))
+    return map_volumes(blocks, inside, (column,), whole=("y", "x"))
 
 
 def surface_distances(blocks: DataFrame, a: str, b: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Neighbourhood operators on dense volumes, by windows along lines after one shuffle by volume."""
+"""Neighbourhood operators on dense volumes, by windows along lines of tiles after one shuffle by tile."""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..volume import AT, KEY, POINT, by_volume, faces, line, neighbour
+from ..volume import AT, KEY, POINT, TILE, by_tile, faces, line, neighbour, own_rows
 
 
 def with_faces(df: DataFrame, value: str) -> DataFrame:
     """The six face neighbours as columns zm, zp, ym, yp, xm, xp; null outside."""
-    return by_volume(df).withColumns(faces(value))
+    return own_rows(by_tile(df).withColumns(faces(value)))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -41,18 +41,16 @@ def gradient_faces(df: DataFrame, label: str = "lab") -> DataFrame:
 
 def face_gradient(df: DataFrame, value: str = "v") -> DataFrame:
     """Forward differences gz, gy, gx; 0 at the end of a line."""
-    rows = by_volume(df)
-    return rows.withColumns({f"g{a}": F.coalesce(neighbour(value, a, 1) - F.col(value), F.lit(0.0)) for a in AT})
+    return own_rows(by_tile(df).withColumns({f"g{a}": F.coalesce(neighbour(value, a, 1) - F.col(value), F.lit(0.0)) for a in AT}))
 
 
 def central_gradient(df: DataFrame, value: str) -> DataFrame:
     """Central differences inside, one-sided ones at the ends."""
-    rows = by_volume(df)
     out = {}
     for a in AT:
         before, after, own = neighbour(value, a, -1), neighbour(value, a, 1), F.col(value).cast("double")
         out[f"g{a}"] = F.when(before.isNull(), after - own).when(after.isNull(), own - before).otherwise((after - before) / 2)
-    return rows.withColumns(out)
+    return own_rows(by_tile(df).withColumns(out))
 
 
 def surface(df: DataFrame, label: str) -> DataFrame:
@@ -62,31 +60,34 @@ def surface(df: DataFrame, label: str) -> DataFrame:
 
 def box_mean(df: DataFrame, value: str = "v") -> DataFrame:
     """Mean over the voxels of the 3 x 3 x 3 neighbourhood inside the volume: three running sums."""
-    rows = by_volume(df).withColumns({"__s": F.col(value), "__n": F.lit(1)})
+    rows = by_tile(df).withColumns({"__s": F.col(value), "__n": F.lit(1)})
     for a in AT:
-        w = line(a).rowsBetween(-1, 1)
+        w = line(a, *TILE).rowsBetween(-1, 1)
         rows = rows.withColumns({"__s": F.sum("__s").over(w), "__n": F.sum("__n").over(w)})
-    return rows.withColumn("smooth", F.col("__s") / F.col("__n")).drop("__s", "__n")
+    return own_rows(rows).withColumn("smooth", F.col("__s") / F.col("__n")).drop("__s", "__n")
 
 
 def gaussian(df: DataFrame, value: str, sigma: float = 1.0, truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian with mirrored ends, by weighted lags along each axis."""
+    """Separable Gaussian with mirrored ends: per axis one shuffle by line, and a bounded run of each line a row.
+
+    The mirror of a position that is ``reach`` away at most is so too, or the line is shorter than that.
+    """
     import math
 
     reach = int(truncate * sigma + 0.5)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
     total = sum(weights)
-    rows = by_volume(df).withColumn("blur", F.col(value).cast("double"))
+    rows = df.withColumn("blur", F.col(value).cast("double"))
     for a in AT:
-        cells = F.collect_list("blur").over(line(a).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        rows = rows.withColumns({"__line": cells, "__i": F.row_number().over(line(a)) - 1})
-        n = F.size("__line")
+        ends = line(a).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.withColumns({"__run": F.collect_list("blur").over(line(a).rowsBetween(-reach, reach)), "__i": F.row_number().over(line(a)) - 1, "__n": F.count("*").over(ends)})
+        first = F.greatest(F.col("__i") - reach, F.lit(0))
 
-        def at(k: int, n=n) -> Column:
-            i = F.pmod(F.col("__i") + k, 2 * n)
-            return F.element_at("__line", (F.when(i < n, i).otherwise(2 * n - 1 - i) + 1).cast("int"))
+        def at(k: int, first=first) -> Column:
+            i = F.pmod(F.col("__i") + k, 2 * F.col("__n"))
+            return F.element_at("__run", (F.when(i < F.col("__n"), i).otherwise(2 * F.col("__n") - 1 - i) - first + 1).cast("int"))
 
-        rows = rows.withColumn("blur", sum((at(k) * (w / total) for k, w in zip(range(-reach, reach + 1), weights)), F.lit(0.0))).drop("__line", "__i")
+        rows = rows.withColumn("blur", sum((at(k) * (w / total) for k, w in zip(range(-reach, reach + 1), weights)), F.lit(0.0))).drop("__run", "__i", "__n")
     return rows
 
 

@@ -14,7 +14,7 @@ from ..operators import regions as rg
 from ..operators import scalar as sc
 from ..sources import formats
 from ..volume import POINT, embedding_blocks, embedding_voxels, map_volumes, read, to_voxels
-from .registry import query, r6, vox_sql
+from .registry import SQL, query, r6, vox_sql
 from .summaries import BAND, PART, argmin_join, particles
 
 #: Reachable pairs of face-connected voxels of one label, and components numbered in raster order.
@@ -89,7 +89,31 @@ def largest_component(spark, sf):
     return sizes.withColumn("n", F.row_number().over(w)).where("n = 1").select("vec_id", "root", "size")
 
 
-@query("chamfer_distance")
+#: The operators above on volumes cut into blocks of two voxels, which are settled between them: the same SQL.
+EDGE = 2
+query("connected_components_blocks", SQL["connected_components_6"])(lambda spark, sf: ones(rg.components(label_blocks(spark, sf), "lab", EDGE), "component").where("component > 0"))
+query("clean_blocks", SQL["clean"])(lambda spark, sf: ones(rg.clean(label_blocks(spark, sf), 0.5, "lab", EDGE), "lab"))
+query("clean_fast_blocks", SQL["clean_fast"])(lambda spark, sf: ones(rg.clean_fast(label_blocks(spark, sf), "gt", EDGE), "keep"))
+query("fill_blocks", SQL["fill"])(lambda spark, sf: ones(rg.fill(label_blocks(spark, sf), 0.1, "gt", EDGE), "lab"))
+query("fill_fast_blocks", SQL["fill_fast"])(lambda spark, sf: ones(rg.fill_fast(label_blocks(spark, sf), "gt", EDGE), "filled"))
+query("min_size_filter_blocks", SQL["min_size_filter_components"])(lambda spark, sf: ones(rg.at_least(label_blocks(spark, sf), 5, "gt", EDGE), "lab"))
+
+#: In a box without obstacles the chamfer distance of two voxels has a closed form.
+CHAMFER = "pr as (select a.vec_id, a.z, a.y, a.x, list_sort([abs(a.z - b.z), abs(a.y - b.y), abs(a.x - b.x)]) as d from vox a left join (select * from vox where gt > 0) b using (vec_id))"
+CHAMFER_SQL = vox_sql("select vec_id, z, y, x, round(min(d[1] * sqrt(3::double) + (d[2] - d[1]) * sqrt(2::double) + (d[3] - d[2])), 6) as d from pr group by all", CHAMFER)
+
+
+@query("chamfer_distance_blocks", CHAMFER_SQL)
+def chamfer_distance_blocks(spark, sf):
+    return ones(rg.chamfer(label_blocks(spark, sf), "gt", edge=EDGE), "d").select(*POINT, F.when(F.col("d") < 1e9, r6("d")).alias("d"))
+
+
+query("geodesic_distance_blocks")(lambda spark, sf: ones(rg.geodesic(label_blocks(spark, sf), 0.5, edge=EDGE), "d").select(*POINT, F.when(F.col("d") < 1e9, r6("d")).alias("d")))
+query("geodesic_segment_blocks")(lambda spark, sf: ones(rg.geodesic_segment(label_blocks(spark, sf), 0.5, edge=EDGE), "lab"))
+query("nearest_index_blocks")(lambda spark, sf: ones(rg.nearest_label(label_blocks(spark, sf), edge=EDGE), "lab"))
+
+
+@query("chamfer_distance", CHAMFER_SQL)
 def chamfer_distance(spark, sf):
     return ones(rg.chamfer(label_blocks(spark, sf), "gt"), "d").select(*POINT, F.when(F.col("d") < 1e9, r6("d")).alias("d"))
 

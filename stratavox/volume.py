@@ -107,10 +107,15 @@ def map_rows(df: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
-def map_volumes(blocks: DataFrame, kernel: Callable[..., np.ndarray], columns: tuple[str, ...] = ("data",), out: str = "array<double>") -> DataFrame:
-    """``kernel(array, ...)`` on the (nz, ny, nx) arrays of each block; its result becomes ``data``."""
+def map_volumes(blocks: DataFrame, kernel: Callable[..., np.ndarray], columns: tuple[str, ...] = ("data",), out: str = "array<double>", whole: tuple[str, ...] = ()) -> DataFrame:
+    """``kernel(array, ...)`` on the (nz, ny, nx) arrays of each block; its result becomes ``data``.
+
+    ``whole`` names the axes that a block must hold from end to end; a block that begins inside of a volume raises.
+    """
     def run(batch: pa.RecordBatch) -> dict:
         got = {k: batch.column(k) for k in ("vec_id", "z0", "y0", "x0", "nz", "ny", "nx")}
+        if any(any(got[f"{c}0"].to_pylist()) for c in whole):
+            raise ValueError("this kernel needs whole volumes, and these are cut into blocks: give the edge of the blocks")
         shapes = zip(*(got[k].to_pylist() for k in ("nz", "ny", "nx")))
         data = []
         for i, shape in enumerate(shapes):
@@ -121,20 +126,36 @@ def map_volumes(blocks: DataFrame, kernel: Callable[..., np.ndarray], columns: t
     return map_rows(blocks.select("vec_id", "z0", "y0", "x0", "nz", "ny", "nx", *columns), f"{BLOCK}, data {out}", run)
 
 
-def by_volume(voxels: DataFrame) -> DataFrame:
-    """Voxels placed by volume, so that windows over any of its lines or planes need no further shuffle."""
-    return voxels.repartition(*KEY)
+#: The tile that a row is placed in by ``by_tile``, and whether it belongs to it or to its halo.
+TILE = [f"__t{c}" for c in AT]
+OWN = "__own"
+
+
+def by_tile(voxels: DataFrame, halo: int = 1, edge: int = 64) -> DataFrame:
+    """Voxels placed by tile, with the voxels around it, so that windows over lines of a tile need no further shuffle.
+
+    A task's tiles are of bounded size however large a volume is.  ``own_rows`` drops the halo afterwards.
+    """
+    rows = voxels
+    for c, t in zip(AT, TILE):
+        rows = rows.withColumn(t, F.explode(F.sequence(F.greatest(F.floor((F.col(c) - halo) / edge), F.lit(0)), F.floor((F.col(c) + halo) / edge))))
+    own = [F.floor(F.col(c) / edge) == F.col(t) for c, t in zip(AT, TILE)]
+    return rows.withColumn(OWN, own[0] & own[1] & own[2]).repartition(*KEY, *TILE)
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col(OWN)).drop(OWN, *TILE)
 
 
-def line(axis: str) -> Window:
-    """The window along one axis."""
-    return Window.partitionBy(*KEY, *(c for c in AT if c != axis)).orderBy(axis)
+def line(axis: str, *tile: str) -> Window:
+    """The window along one axis, of the volume or of the given tile columns."""
+    return Window.partitionBy(*KEY, *tile, *(c for c in AT if c != axis)).orderBy(axis)
 
 
 def neighbour(value: str | Column, axis: str, step: int) -> Column:
-    """The value ``step`` voxels on along an axis, null outside; the volume must be dense."""
+    """The value one voxel on along an axis, over rows of ``by_tile``; null outside; the volume must be dense."""
     col = F.col(value) if isinstance(value, str) else value
-    return (F.lag(col, -step) if step < 0 else F.lead(col, step)).over(line(axis))
+    return (F.lag(col, -step) if step < 0 else F.lead(col, step)).over(line(axis, *TILE))
 
 
 def faces(value: str) -> dict[str, Column]:

@@ -1,5 +1,7 @@
 """Operators on hand-made volumes, and streams."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,76 @@ def test_one_shuffle_for_all_stencils(spark, sf):
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [[c.split("#")[0].strip() for c in x.split(", ")] for x in re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan.split("== Initial Plan ==")[-1])]
+
+
+def test_no_shuffle_by_volume_alone(spark, sf):
+    rows = embedding_voxels(spark, sf).select("vec_id", "z", "y", "x", "lab", "v")
+    for df in (sten.with_faces(rows, "lab"), sten.face_gradient(rows), sten.central_gradient(rows, "v"), sten.box_mean(rows), sten.gaussian(rows, "v"), mesh.surface_quads(rows)):
+        found = exchanges(df)
+        assert found and all(len(keys) > 2 for keys in found), found
+
+
+@pytest.mark.parametrize("edge", [2, 3])
+def test_stencils_over_tiles(spark, edge, monkeypatch):
+    """Tiles of 2 and 3 voxels give what one tile gives."""
+    from stratavox import volume as vol
+
+    a = np.random.default_rng(2).integers(0, 3, (5, 4, 7))
+    rows = volume(spark, a).withColumn("v", F.col("lab").cast("double"))
+    runs = lambda: [sorted(map(tuple, f(rows).collect())) for f in (lambda r: sten.gradient_faces(r), lambda r: sten.box_mean(r).withColumn("smooth", F.round("smooth", 9)), lambda r: sten.face_gradient(r), lambda r: sten.surface(r.withColumn("m", (F.col("lab") > 1).cast("int")), "m"), lambda r: mesh.surface_quads(r))]
+    want = runs()
+    monkeypatch.setattr(vol.by_tile, "__defaults__", (1, edge))
+    assert runs() == want
+
+
+def test_gaussian_by_definition(spark):
+    a = np.random.default_rng(4).random((3, 11, 6))
+    k = np.exp(-0.5 * np.arange(-4, 5) ** 2)
+    want = a
+    for axis in range(3):
+        pad = np.pad(want, [(4, 4) if i == axis else (0, 0) for i in range(3)], mode="symmetric")
+        want = sum(w * np.take(pad, range(j, j + a.shape[axis]), axis) for j, w in enumerate(k / k.sum()))
+    assert np.allclose(array(sten.gaussian(volume(spark, a, name="v"), "v"), a.shape, "blur"), want)
+
+
+def whole_block(spark, **columns):
+    shape = next(iter(columns.values())).shape
+    fields = ", ".join(f"{c} array<double>" for c in columns)
+    row = [(0, 0, 0, 0, *shape, *(a.ravel().astype(float).tolist() for a in columns.values()))]
+    return spark.createDataFrame(row, f"vec_id bigint, z0 int, y0 int, x0 int, nz int, ny int, nx int, {fields}")
+
+
+REGIONS = {
+    "components": lambda b, e: regions.components(b, "lab", e), "clean": lambda b, e: regions.clean(b, 0.3, "lab", e), "fill": lambda b, e: regions.fill(b, 0.5, "lab", e), "largest": lambda b, e: regions.clean_fast(b, "mask", e),
+    "fill_all": lambda b, e: regions.fill_fast(b, "mask", e), "at_least": lambda b, e: regions.at_least(b, 4, "mask", e), "cleaned_filled": lambda b, e: regions.cleaned_filled(b, 0.3, "lab", e), "chamfer": lambda b, e: regions.chamfer(b, "seeds", edge=e),
+    "geodesic": lambda b, e: regions.geodesic(b, 0.5, edge=e), "segment": lambda b, e: regions.geodesic_segment(b, 0.5, edge=e), "nearest": lambda b, e: regions.nearest_label(b, edge=e),
+}
+
+
+@pytest.mark.parametrize("name", REGIONS)
+def test_regions_over_blocks(spark, name):
+    """Volumes cut into blocks of 2 and 3 voxels give what whole ones give; without an edge cut volumes raise."""
+    from stratavox.operators import tiled
+
+    r = np.random.default_rng(11)
+    lab = np.where(r.random((4, 5, 7)) < 0.75, r.integers(1, 3, (4, 5, 7)), 0)
+    lab[1:4, 1:4, 1:4] = 1
+    lab[2, 2, 2] = 0
+    mask = (r.random(lab.shape) < 0.7).astype(int)
+    seeds = np.where(r.random(lab.shape) < 0.04, r.integers(1, 3, lab.shape), 0)
+    seeds[0, 0, 0] = 1
+    blocks = whole_block(spark, lab=lab, mask=mask, seeds=seeds, data=r.random(lab.shape) * 3)
+    run = lambda b, e: array(to_voxels(REGIONS[name](b, e), value="v"), lab.shape, "v")
+    want = run(blocks, None)
+    for edge in (2, 3):
+        assert np.allclose(run(blocks, edge), want), edge
+    with pytest.raises(Exception, match="whole volumes"):
+        run(tiled.cut(blocks, 3, ("lab", "mask", "seeds", "data")), None)
+
+
 def test_streams(spark, tmp_path):
     from stratavox.streaming import jobs
 
