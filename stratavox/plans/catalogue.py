@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extras, regions, scalars, summaries  # noqa: F401  register their queries
+from . import extras, files, regions, scalars, summaries  # noqa: F401  register their queries
 from .registry import QUERIES, SQL
 
 

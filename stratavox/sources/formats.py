@@ -84,6 +84,69 @@ def parse_amira_header(text: str) -> dict:
     return {"lattice": tuple(map(int, lattice.groups())), "box": tuple(map(float, box[1].split())) if box else None, "streams": streams, "ascii": "ASCII" in text.split("\n", 1)[0]}
 
 
+AMIRA_TOKEN = re.compile(r'"(?:[^"\\\\]|\\\\.)*"|[{}\[\]=,]|[^\s{}\[\]=,"]+')
+
+
+def _amira_value(text: str):
+    if text.startswith('"'):
+        return text[1:-1].replace('\\\\"', '"')
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def parse_amira_tree(text: str) -> dict:
+    """All of a header: ``define`` (sizes by name) and ``Parameters`` with their groups, materials included, as nested dicts.
+
+    A key has its value, a list where several follow, or a dict where a group does; unknown statements are passed over.
+    """
+    lines = [x for x in text.splitlines() if not x.lstrip().startswith("#")]
+    tokens = [(m[0], n) for n, x in enumerate(lines) for m in AMIRA_TOKEN.finditer(x)]
+    at = 0
+
+    def group() -> dict:
+        nonlocal at
+        out: dict = {}
+        while at < len(tokens) and tokens[at][0] != "}":
+            key, row = tokens[at]
+            at += 1
+            if key == ",":
+                continue
+            key = str(_amira_value(key))
+            if at < len(tokens) and tokens[at][0] == "{":
+                at += 1
+                out[key] = group()
+                at += 1
+                continue
+            values = []
+            while at < len(tokens) and tokens[at][1] == row and tokens[at][0] not in ("{", "}", ","):
+                values.append(_amira_value(tokens[at][0]))
+                at += 1
+            out[key] = values[0] if len(values) == 1 else values
+        return out
+
+    found = {"define": {}, "Parameters": {}}
+    while at < len(tokens):
+        word, row = tokens[at]
+        at += 1
+        if word == "define" and at < len(tokens):
+            name = tokens[at][0]
+            at += 1
+            sizes = []
+            while at < len(tokens) and tokens[at][1] == row:
+                sizes.append(int(tokens[at][0]))
+                at += 1
+            found["define"][name] = sizes
+        elif word == "Parameters" and at < len(tokens) and tokens[at][0] == "{":
+            at += 1
+            found["Parameters"] = group()
+            at += 1
+    return found
+
+
 def decode_amira(data: bytes) -> list[Volume]:
     start = re.search(rb"\n@1\s*\n", data)
     if not data.startswith((b"# AmiraMesh", b"# Avizo")) or not start:
@@ -521,9 +584,115 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return rows.copy() if depth == 8 else rows.reshape(abs(h), w, 3)[:, :, ::-1].copy()
 
 
+# pairs of a header and a body ------------------------------------------------------------------
+
+
+def encode_mhd(volume: Volume, body_name: str, compress: bool = False) -> tuple[bytes, bytes]:
+    """MetaImage as a header that names its body, and the body."""
+    head, mark, body = encode_mha(volume, compress).partition(b"ElementDataFile = LOCAL\n")
+    return head + b"ElementDataFile = " + body_name.encode() + b"\n", body
+
+
+def decode_mhd(head: bytes, body: bytes) -> Volume:
+    return decode_mha(re.sub(rb"ElementDataFile\s*=.*", b"ElementDataFile = LOCAL", head).rstrip(b"\n") + b"\n" + body)
+
+
+def encode_nifti_pair(volume: Volume) -> tuple[bytes, bytes]:
+    """NIfTI-1 as .hdr and .img."""
+    raw = encode_nifti(volume, False)
+    head = bytearray(raw[:348])
+    struct.pack_into("<f", head, 108, 0.0)
+    head[344:348] = b"ni1\0"
+    return bytes(head), raw[352:]
+
+
+def decode_nifti_pair(head: bytes, body: bytes) -> Volume:
+    order = "<" if struct.unpack_from("<i", head)[0] == 348 else ">"
+    offset = int(struct.unpack_from(order + "f", head, 108)[0])
+    whole = bytearray(head[:348]) + b"\0" * 4
+    struct.pack_into(order + "f", whole, 108, 352.0)
+    return decode_nifti(bytes(whole) + body[offset:])
+
+
+#: Endings of headers whose body is another file of the same name, the body's endings and what reads both.
+PAIRS = {".mhd": ((".raw", ".zraw"), decode_mhd), ".hdr": ((".img",), decode_nifti_pair)}
+BODIES = tuple(x for names, _ in PAIRS.values() for x in names)
+
+# NetCDF classic ------------------------------------------------------------------------------------
+
+#: External types of the classic formats, big-endian.
+NETCDF_TYPES = {1: ">i1", 2: ">S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
+NETCDF_DIMENSIONS, NETCDF_VARIABLES, NETCDF_ATTRIBUTES = 10, 11, 12
+
+
+def _padded(data: bytes) -> bytes:
+    return data + b"\0" * (-len(data) % 4)
+
+
+def encode_netcdf(volume: Volume, name: str = "data") -> bytes:
+    """NetCDF classic with 64-bit offsets: one variable over z, y, x; unsigned bytes are marked ``_Unsigned``."""
+    a = volume.data
+    unsigned = a.dtype == np.uint8
+    kinds = {np.dtype(t): k for k, t in NETCDF_TYPES.items()}
+    kind = 1 if unsigned else kinds.get(a.dtype.newbyteorder(">"))
+    if kind is None:
+        raise ValueError(f"NetCDF classic has no type for {a.dtype}")
+    raw = _padded(a.tobytes() if unsigned else a.astype(NETCDF_TYPES[kind]).tobytes())
+    text = lambda s: struct.pack(">i", len(s)) + _padded(s.encode())
+    head = b"CDF\x02" + struct.pack(">3i", 0, NETCDF_DIMENSIONS, 3) + b"".join(text(c) + struct.pack(">i", n) for c, n in zip("zyx", a.shape))
+    head += struct.pack(">2i", 0, 0) + struct.pack(">2i", NETCDF_VARIABLES, 1) + text(name) + struct.pack(">4i", 3, 0, 1, 2)
+    notes = [("spacing", 6, struct.pack(">3d", *volume.spacing), 3)] + ([("_Unsigned", 2, b"true", 4)] if unsigned else [])
+    head += struct.pack(">2i", NETCDF_ATTRIBUTES, len(notes)) + b"".join(text(k) + struct.pack(">2i", t, n) + _padded(v) for k, t, v, n in notes)
+    return head + struct.pack(">2iq", kind, min(len(raw), (1 << 31) - 4), len(head) + 16) + raw
+
+
+def decode_netcdf(data: bytes) -> Volume:
+    """The first variable of three axes of a classic file (versions 1 and 2) without record axes."""
+    if data[:3] != b"CDF" or data[3:4] not in (b"\x01", b"\x02"):
+        raise ValueError("not a NetCDF classic file")
+    at = 8
+    wide = data[3] == 2
+
+    def number(form: str = ">i") -> int:
+        nonlocal at
+        at += struct.calcsize(form)
+        return struct.unpack_from(form, data, at - struct.calcsize(form))[0]
+
+    def text() -> str:
+        nonlocal at
+        n = number()
+        at += n + -n % 4
+        return data[at - (n + -n % 4) :][:n].decode()
+
+    def attributes() -> dict:
+        nonlocal at
+        number()
+        out = {}
+        for _ in range(number()):
+            key, kind, n = text(), number(), number()
+            size = np.dtype(NETCDF_TYPES[kind]).itemsize * n
+            out[key] = data[at : at + n].decode() if kind == 2 else np.frombuffer(data, NETCDF_TYPES[kind], n, at).tolist()
+            at += size + -size % 4
+        return out
+
+    number()
+    sizes = [(text(), number())[1] for _ in range(number())]
+    attributes()
+    number()
+    for _ in range(number()):
+        name, axes = text(), [number() for _ in range(number())]
+        notes, kind, _, begin = attributes(), number(), number(), number(">q" if wide else ">i")
+        shape = [sizes[k] for k in axes]
+        if len(shape) == 3 and all(shape) and kind in NETCDF_TYPES:
+            a = np.frombuffer(data, NETCDF_TYPES[kind], int(np.prod(shape)), begin).reshape(shape)
+            a = a.view(np.uint8) if notes.get("_Unsigned") == "true" and kind == 1 else a
+            return Volume(a, tuple(notes.get("spacing", (1.0, 1.0, 1.0))), {"name": name})
+    raise ValueError("no variable of three fixed axes in the NetCDF file")
+
+
 #: What reads a whole file of each kind.
-DECODERS = {".am": lambda d: decode_amira(d)[0], ".nrrd": decode_nrrd, ".mha": decode_mha, ".nii": decode_nifti, ".nii.gz": decode_nifti, ".tif": decode_tiff, ".tiff": decode_tiff, ".mrc": decode_mrc, ".npy": decode_npy}
-ENCODERS = {".am": encode_amira, ".nrrd": encode_nrrd, ".mha": encode_mha, ".nii": lambda v: encode_nifti(v, False), ".nii.gz": encode_nifti, ".tif": encode_tiff, ".tiff": encode_tiff, ".mrc": encode_mrc, ".npy": encode_npy}
+DECODERS = {".am": lambda d: decode_amira(d)[0], ".nrrd": decode_nrrd, ".mha": decode_mha, ".nii": decode_nifti, ".nii.gz": decode_nifti, ".tif": decode_tiff, ".tiff": decode_tiff, ".mrc": decode_mrc, ".npy": decode_npy, ".nc": decode_netcdf}
+ENCODERS = {".am": encode_amira, ".nrrd": encode_nrrd, ".mha": encode_mha, ".nii": lambda v: encode_nifti(v, False), ".nii.gz": encode_nifti, ".tif": encode_tiff, ".tiff": encode_tiff, ".mrc": encode_mrc, ".npy": encode_npy, ".nc": encode_netcdf}
 IMAGES = {".png": decode_png, ".bmp": decode_bmp, ".tif": lambda d: decode_tiff(d, 0, 1).data[0], ".tiff": lambda d: decode_tiff(d, 0, 1).data[0]}
 
 

@@ -15,7 +15,7 @@ from stratavox.sources import volumes as vo
 from stratavox.volume import embedding_blocks, to_blocks, to_voxels
 
 R = np.random.default_rng(3)
-TYPES = {".am": ("u1", "i2", "u2", "i4", "f4", "f8"), ".nrrd": ("u1", "i2", "u4", "f4", "f8"), ".mha": ("u1", "i2", "f4", "i8"), ".nii": ("u1", "i2", "f4"), ".nii.gz": ("u2",), ".tif": ("u1", "u2", "i4", "f4", "f8"), ".mrc": ("i1", "i2", "f4", "u2"), ".npy": ("u1", "f8")}
+TYPES = {".am": ("u1", "i2", "u2", "i4", "f4", "f8"), ".nrrd": ("u1", "i2", "u4", "f4", "f8"), ".mha": ("u1", "i2", "f4", "i8"), ".nii": ("u1", "i2", "f4"), ".nii.gz": ("u2",), ".tif": ("u1", "u2", "i4", "f4", "f8"), ".mrc": ("i1", "i2", "f4", "u2"), ".npy": ("u1", "f8"), ".nc": ("u1", "i1", "i2", "i4", "f4", "f8")}
 
 
 @pytest.mark.parametrize("kind, dtype", [(k, t) for k, ts in TYPES.items() for t in ts])
@@ -47,6 +47,72 @@ def test_amira_ascii_and_header():
     assert "define Lattice 7 6 5" in new and "BoundingBox 0 6 0 5 0 8" in new
 
 
+def test_amira_tree():
+    text = """# AmiraMesh BINARY-LITTLE-ENDIAN 2.1
+define Lattice 4 3 2
+define Points 7
+Parameters {
+    Materials {
+        Exterior { Id 1 }
+        "Left lobe" {
+            Color 0.8 0.25 1,
+            Id 2
+        }
+    }
+    Content "4x3x2 byte, uniform coordinates",
+    BoundingBox 0 3 0 2 0 1,
+    CoordType "uniform"
+}
+Lattice { byte Labels } @1
+"""
+    got = fm.parse_amira_tree(text)
+    assert got["define"] == {"Lattice": [4, 3, 2], "Points": [7]}
+    assert got["Parameters"]["Materials"] == {"Exterior": {"Id": 1}, "Left lobe": {"Color": [0.8, 0.25, 1], "Id": 2}}
+    assert got["Parameters"]["BoundingBox"] == [0, 3, 0, 2, 0, 1] and got["Parameters"]["CoordType"] == "uniform"
+    assert fm.parse_amira_tree(fm.encode_amira(fm.Volume(np.zeros((2, 3, 4), "u1"))).split(b"\n@1\n")[0].decode())["define"]["Lattice"] == [4, 3, 2]
+
+
+def test_netcdf_golden_bytes():
+    """A file put together by hand after the classic format's grammar, version 1: a 1-D variable, then one of three axes."""
+    name = lambda s: len(s).to_bytes(4, "big") + s.encode() + b"\0" * (-len(s) % 4)
+    n = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    head = b"CDF\x01" + n(0) + n(10, 3) + name("zdim") + n(2) + name("y") + n(1) + name("x") + n(3) + n(12, 1) + name("title") + n(2, 2) + b"ab\0\0"
+    first = name("x") + n(1, 2) + n(0, 0) + n(5, 12)
+    second = name("tomo") + n(3, 0, 1, 2) + n(0, 0) + n(3, 12)
+    start = len(head) + 8 + len(first) + 4 + len(second) + 4
+    data = head + n(11, 2) + first + n(start) + second + n(start + 12) + np.array([1, 2, 3], ">f4").tobytes() + np.array([1, -2, 3, 4, 5, 600], ">i2").tobytes()
+    got = fm.decode("scan.nc", data)
+    assert got.data.tolist() == [[[1, -2, 3]], [[4, 5, 600]]] and got.header == {"name": "tomo"}
+
+
+def test_golden_pairs():
+    head = b"ObjectType = Image\nNDims = 3\nBinaryData = True\nBinaryDataByteOrderMSB = True\nDimSize = 3 1 2\nElementSpacing = 1 2 3\nElementType = MET_SHORT\nElementDataFile = a.raw\n"
+    got = fm.decode_mhd(head, np.array([1, -2, 3, 4, 5, 600], ">i2").tobytes())
+    assert got.data.tolist() == [[[1, -2, 3]], [[4, 5, 600]]] and got.spacing == (1.0, 2.0, 3.0)
+    a = (R.random((2, 3, 4)) * 100).astype("i2")
+    head, body = fm.encode_nifti_pair(fm.Volume(a))
+    assert head[344:348] == b"ni1\0" and len(head) == 348 and body == a.tobytes()
+    assert (fm.decode_nifti_pair(head, body).data == a).all()
+
+
+def test_pairs_meet_and_lone_headers_raise(spark, tmp_path):
+    a = (R.random((3, 4, 5)) * 100).astype("u1")
+    for kind, (head, body) in ((".mhd", fm.encode_mhd(fm.Volume(a), "v.raw")), (".hdr", fm.encode_nifti_pair(fm.Volume(a)))):
+        folder = tmp_path / kind[1:]
+        folder.mkdir()
+        (folder / f"v{kind}").write_bytes(head)
+        with pytest.raises(Exception, match="no body beside it"):
+            vo.read_volumes(spark, f"file://{folder}").collect()
+        (folder / f"v{fm.PAIRS[kind][0][0]}").write_bytes(body)
+        rows = vo.read_volumes(spark, f"file://{folder}").collect()
+        assert len(rows) == 1 and rows[0].data == a.ravel().tolist()
+
+
+def test_other_stores_are_not_written_as_local_files(spark):
+    with pytest.raises(ValueError, match="mounted"):
+        vo.write_files(spark.createDataFrame([("a", bytearray(b"x"))], "n string, content binary"), "hdfs://host/a", F.col("n"))
+
+
 @pytest.mark.parametrize("kind", list(fm.DECODERS))
 def test_rejects(kind):
     with pytest.raises(Exception):
@@ -115,7 +181,7 @@ def test_writers(spark, sf, tmp_path):
     got = to_voxels(vo.read_zarr(spark, str(tmp_path / "z")).withColumn("vec_id", F.lit(1).cast("bigint")))
     assert got.exceptAll(to_voxels(blocks).where("vec_id = 1")).isEmpty()
     vo.write_slices(blocks, str(tmp_path / "p"))
-    assert len(list((tmp_path / "p").glob("*.png"))) == 12
+    assert len(list((tmp_path / "p").glob("*/*.png"))) == 12
 
 
 def test_names():
