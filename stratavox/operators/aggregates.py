@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..volume import AT, KEY
+from .graph import written
 
 
 def label_histogram(df: DataFrame, label: str = "lab") -> DataFrame:
@@ -166,8 +167,28 @@ def _beta_fraction(x: float, a: float, b: float) -> float:
     return out
 
 
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``name``: the place of each row in the whole table, from 1; ``order`` should tell all rows apart.
+
+    Rows are sorted by ranges; a part's places begin behind the rows of the parts before it, of which there are no
+    more numbers than parts.
+    """
+    local = df.withColumns({f"__k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)})
+    keys = [f"__k{i}" for i in range(len(order))]
+    local = local.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    local = written(local.withColumn("__id", F.monotonically_increasing_id()).drop(*keys), "ranked")
+    part = F.shiftright("__id", 33)
+    sizes = local.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return local.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(name, place.cast("int")).drop("__part", "__id", "__before")
+
+
 def early_stopping(df: DataFrame, value: str, order: str, patience: int) -> DataFrame:
-    """``stop``: the best value so far is not among the last ``patience``."""
+    """``stop``: the best value so far is not among the last ``patience``.
+
+    ``df`` is the history of one run, a row an epoch; such a history fits one task.
+    """
     upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     last = Window.orderBy(order).rowsBetween(-patience + 1, 0)
     return df.withColumn("stop", (F.max(value).over(upto) > F.max(value).over(last)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..volume import AT, KEY, POINT
+from .graph import written
 
 
 def voxel_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -51,15 +52,39 @@ def argmin_join(pairs: DataFrame, by: list[str], cost: str, order: str) -> DataF
     return pairs.groupBy(*by).agg(best).select(*by, "best.*")
 
 
-def min_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Per voxel of ``a`` the squared distance to the nearest of ``b`` in the same volume.
+def nearest(a: DataFrame, b: DataFrame, payload: str | None = None, edge: int = 8) -> DataFrame:
+    """Per voxel of ``a``: ``d2``, the squared distance to the nearest of ``b`` in its volume, and the least ``payload`` at that distance.
 
-    Rings of growing boxes would do for large sets; here points meet by (volume, cell) for cells as
-    wide as the volume, and the least is taken before rows are shuffled.
+    Voxels meet by cells of ``edge`` and the cells around; a distance that is not above ``edge`` is final, the
+    other voxels go on with cells of twice the edge, until cells are as wide as the volumes.
     """
-    other = b.select(*KEY, *(F.col(c).alias(f"o{c}") for c in AT))
-    square = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in AT), F.lit(0))
-    return a.join(other, KEY).groupBy(*POINT).agg(F.min(square).cast("int").alias("d2"))
+    ends = a.select(*AT).unionByName(b.select(*AT)).agg(F.max(F.greatest(*AT)).alias("high"), F.min(F.least(*AT)).alias("low")).first()
+    if ends.high is None:
+        return a.select(*POINT).limit(0).join(b.select(*KEY, F.lit(0).alias("d2"), *([payload] if payload else [])), KEY)
+    todo, found = a.select(*POINT).distinct(), None
+    other = b.select(*KEY, *(F.col(c).alias(f"o{c}") for c in AT), *([payload] if payload else []))
+    square = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in AT), F.lit(0)).cast("int")
+    while True:
+        cells = [f"__{c}" for c in AT]
+        near, around = todo.withColumns({n: F.floor(F.col(c) / edge) for n, c in zip(cells, AT)}), other
+        for n, c in zip(cells, AT):
+            around = around.withColumn(n, F.explode(F.sequence(F.floor(F.col(f"o{c}") / edge) - 1, F.floor(F.col(f"o{c}") / edge) + 1)))
+        best = near.join(around, [*KEY, *cells]).groupBy(*POINT).agg(F.min(F.struct(square.alias("d2"), *([payload] if payload else []))).alias("best"))
+        best = best.select(*POINT, "best.*")
+        last = edge > ends.high - ends.low
+        done = best if last else written(best.where(F.col("d2") <= edge * edge), "near")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            return found
+        todo = written(todo.join(done, POINT, "left_anti"), "far")
+        if todo.isEmpty():
+            return found
+        edge *= 2
+
+
+def min_distances(a: DataFrame, b: DataFrame, edge: int = 8) -> DataFrame:
+    """Per voxel of ``a`` the squared distance to the nearest of ``b`` in the same volume."""
+    return nearest(a, b, None, edge)
 
 
 def scan_mask(boxes: DataFrame, voxels: DataFrame, edge: int) -> DataFrame:

@@ -18,8 +18,8 @@ from ..operators import stencil as st
 from ..sources import formats
 from ..sources.volumes import unique_name
 from ..volume import POINT, embedding_voxels, map_rows, map_volumes, read, to_voxels
-from .regions import _pairs, _round_trip, _SUMS, label_blocks
-from .registry import SHAPE, query, r6, vox_sql
+from .regions import _pairs, _round_trip, _SUMS, label_blocks, recursive
+from .registry import DIFFERS, FAC, INSIDE, SHAPE, query, r6, vox_sql
 from .summaries import ASSD, SURF
 
 
@@ -120,7 +120,7 @@ def correct_match(spark, sf):
     return map_rows(_pairs(spark, sf).select("id_a", "id_b", "a", "b"), "id_a bigint, id_b bigint, data array<bigint>", run)
 
 
-@query("boundary_training_labels")
+@query("boundary_training_labels", recursive(f"select f.vec_id, f.z, f.y, f.x, ({INSIDE.replace('z ', 'f.z ', 1).replace('y ', 'f.y ', 1).replace('x ', 'f.x ', 1)} and ({DIFFERS.replace('<> lab', '<> f.lab')}))::int as boundary, (coalesce(cc.size, 0) >= 3)::bigint as ignore from fac f left join cc using (vec_id, z, y, x)", "g", FAC, "g as (select vec_id, z, y, x, (v > (-0.1)::double and gt = 0)::int as lab from vox)"))
 def boundary_training_labels(spark, sf):
     """Channels: the border of labels, and what of the mask belongs to components of at least three voxels outside them."""
     border = st.boundary_faces(embedding_voxels(spark, sf), SHAPE).select(*POINT, "boundary")

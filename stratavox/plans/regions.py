@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import aggregates as ag
 from ..operators import catalogue as ca
+from ..operators import joins as jo
 from ..operators import mesh as me
 from ..operators import particles as pt
 from ..operators import regions as rg
 from ..operators import scalar as sc
 from ..sources import formats
-from ..volume import POINT, embedding_blocks, embedding_voxels, map_volumes, read, to_voxels
+from ..volume import POINT, embedding_blocks, embedding_voxels, linear_decode, map_volumes, read, to_voxels
 from .registry import SQL, query, r6, vox_sql
 from .summaries import BAND, PART, argmin_join, particles
 
@@ -136,9 +137,7 @@ def nearest_index_propagation(spark, sf):
 @query("nearest_seed_join", vox_sql("select a.vec_id, a.z, a.y, a.x, arg_min(s.lab, ((a.z - s.z) * (a.z - s.z) + (a.y - s.y) * (a.y - s.y) + (a.x - s.x) * (a.x - s.x), s.lab))::int as lab from vox a join (select vec_id, z, y, x, case when v > 0.25::double then 2 else 1 end as lab from vox where abs(v) > 0.25::double) s using (vec_id) group by a.vec_id, a.z, a.y, a.x"))
 def nearest_seed_join(spark, sf):
     vox = embedding_voxels(spark, sf)
-    seeds = vox.where("abs(v) > 0.25D").select("vec_id", *(F.col(c).alias(f"s{c}") for c in "zyx"), F.when(F.col("v") > 0.25, 2).otherwise(1).alias("slab"))
-    d = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in "zyx"), F.lit(0))
-    return vox.select(*POINT).join(seeds, "vec_id").groupBy(*POINT).agg(F.min(F.struct(d.alias("d"), F.col("slab"))).alias("best")).select(*POINT, F.col("best.slab").alias("lab"))
+    return jo.nearest(vox, vox.where("abs(v) > 0.25D").select(*POINT, F.when(F.col("v") > 0.25, 2).otherwise(1).alias("lab")), "lab").drop("d2")
 
 
 @query("random_walk_hits")
@@ -156,6 +155,11 @@ def random_walk_large(spark, sf):
     return rg.random_walk_hits(label_blocks(spark, sf), labels="seeds", adaptive=True)
 
 
+@query("random_walk_large_allaxis")
+def random_walk_large_allaxis(spark, sf):
+    return rg.random_walk_hits(label_blocks(spark, sf), labels="seeds", axes=(0, 1, 2), adaptive=True)
+
+
 @query("smart_interpolation")
 def smart_interpolation(spark, sf):
     return rg.smart_interpolation(label_blocks(spark, sf), labels="seeds")
@@ -236,10 +240,11 @@ def rotation_dice(spark, sf):
     return rg.rotation_search(_pairs(spark, sf)).select("id_a", "id_b", "dice")
 
 
-@query("majority_vote")
+@query("majority_vote", recursive("select v.vec_id, v.z, v.y, v.x, (cc.root is not null and cc.root = b.root)::bigint as keep from g v left join cc using (vec_id, z, y, x) left join (select vec_id, arg_min(root, (-size, root)) as root from cc group by vec_id) b on v.vec_id = b.vec_id", "g", "g as (select vec_id // 3 as vec_id, z, y, x, (sum(gt) >= 2)::int as lab from vox group by vec_id // 3, z, y, x having count(*) = 3)"))
 def majority_vote(spark, sf):
     rows = label_blocks(spark, sf).withColumn("group", F.floor(F.col("vec_id") / 3)).groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "gt"))), lambda s: s["gt"]).alias("votes"))
-    return rg.majority_votes(rows.where(F.size("votes") == 3).select(F.col("group").alias("vec_id"), "votes"))
+    won = rg.majority_votes(rows.where(F.size("votes") == 3).select(F.col("group").alias("vec_id"), "votes"))
+    return won.select("vec_id", F.posexplode("data").alias("p", "keep")).select("vec_id", *linear_decode(F.col("p"), F.lit(4), F.lit(4)), "keep")
 
 
 @query("match_components", vox_sql("select component, count(*)::bigint as n from (select a as component, b from (select a, arg_min(b, (cost, b)) as b from (select a, b, round(abs(level_a - level_b), 6) as cost from bd) group by a)) t where b in (select b from (select a, arg_min(b, (cost, b)) as b from (select a, b, round(abs(level_a - level_b), 6) as cost from bd) group by a) group by b having count(*) = 1) group by component", PART, BAND).replace("count(*)::bigint as n from (select a as component, b", "(count(*) + 1)::bigint as n from (select a as component, b"))
@@ -248,13 +253,17 @@ def match_components(spark, sf):
     return pt.match_components(edges).groupBy((F.col("component") % (1 << 40)).alias("component")).agg(F.count("*").alias("n"))
 
 
-@query("sort_mappings_by_detections")
+@query("sort_mappings_by_detections", "select component, n as n_scans, row_number() over (order by n desc, component)::int as nth from (" + SQL["match_components"] + ")")
 def sort_mappings(spark, sf):
     edges = argmin_join(spark, sf).select(F.lit(0).alias("scan_a"), "a", F.lit(1).alias("scan_b"), "b", F.lit(0.95).alias("dice"))
     return pt.sort_mappings(pt.match_components(edges))
 
 
-@query("match_mappings_v1")
+MATCHED = "nt as (select scan, particle, row_number() over (partition by scan order by size, particle) as nth from pa where scan < 3)"
+SIDE = "(select x.particle as {2}, y.particle as {3} from nt x join nt y using (nth) where x.scan = {0} and y.scan = {1} and nth % {4} <> 0)"
+
+
+@query("match_mappings_v1", vox_sql("select p0, p1, coalesce(p2, p2c) as p2 from " + SIDE.format(0, 1, "p0", "p1", 2) + " ab full join " + SIDE.format(1, 2, "p1", "p2", 4) + " bc using (p1) full join " + SIDE.format(0, 2, "p0", "p2c", 3) + " ac using (p0) where not (p2 is not null and p2c is not null and p2 <> p2c)", PART, MATCHED))
 def match_mappings(spark, sf):
     p = particles(spark, sf).where("scan < 3").withColumn("nth", F.row_number().over(Window.partitionBy("scan").orderBy("size", "particle")))
     one = lambda s, c: p.where(F.col("scan") == s).select("nth", F.col("particle").alias(c))
@@ -278,13 +287,6 @@ def mesh_triangles(spark, sf):
     return me.triangles(embedding_voxels(spark, sf).select(*POINT, "gt"), label="gt").select("vec_id", "attribute", "p0", "p1", "p2")
 
 
-@query("zarr_materialize")
-def zarr_materialize(spark, sf):
-    from ..volume import to_blocks
-
-    return to_blocks(embedding_voxels(spark, sf).select(*POINT, "v"), edge=2)
-
-
 # formats: each query encodes every volume, decodes the bytes and returns what came back -----------------
 
 

@@ -250,7 +250,19 @@ def stencil_self_join(spark, sf):
     return st.neighbours_26(embedding_voxels(spark, sf).select(*POINT, "lab"), ["lab"]).groupBy(*POINT).agg(F.count("*").alias("n"), F.max("n_lab").alias("high"))
 
 
-@query("gaussian_border", None)
+def mirrored_weights(n: int, reach: int = 4) -> list[tuple[int, int, float]]:
+    """(i, j, weight) of a Gaussian of deviation 1 on a line of ``n`` places with mirrored ends."""
+    import math
+
+    w = [math.exp(-0.5 * k * k) for k in range(-reach, reach + 1)]
+    line = [*range(n), *reversed(range(n))]
+    return [(i, j, sum(v for k, v in zip(range(-reach, reach + 1), w) if line[(i + k) % (2 * n)] == j) / sum(w)) for i in range(n) for j in range(n)]
+
+
+GAUSS = "gk as (select * from (values " + ", ".join(f"({i}, {j}, '{w!r}'::double)" for i, j, w in mirrored_weights(4)) + ") t(i, j, w))"
+
+
+@query("gaussian_border", vox_sql(f"select a.vec_id, a.z, a.y, a.x, (sum(b.boundary * kz.w * ky.w * kx.w) > 0.25)::int as border from vox a join (select *, ({INSIDE} and ({DIFFERS}))::int as boundary from fac) b using (vec_id) join gk kz on kz.i = a.z and kz.j = b.z join gk ky on ky.i = a.y and ky.j = b.y join gk kx on kx.i = a.x and kx.j = b.x group by all", FAC, GAUSS))
 def gaussian_border(spark, sf):
     rows = st.boundary_faces(embedding_voxels(spark, sf), SHAPE)
     return st.gaussian(rows.select(*POINT, "boundary"), "boundary").select(*POINT, (F.col("blur") > 0.25).cast("int").alias("border"))
@@ -366,12 +378,12 @@ def early_stopping(spark, sf):
 @query("natural_sort", "select p_name || '-' || (p_partkey % 120) || '.tif' as name, row_number() over (order by lower(p_name), p_partkey % 120, p_partkey) ::int as nth from part")
 def natural_sort(spark, sf):
     rows = read(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("-"), F.col("p_partkey") % 120, F.lit(".tif")).alias("name"))
-    return rows.select("name", F.row_number().over(Window.orderBy(natural_key(F.col("name")), "p_partkey")).alias("nth"))
+    return ag.ranked(rows, "nth", natural_key(F.col("name")), "p_partkey").select("name", "nth")
 
 
 @query("plain_sort", "select p_name, row_number() over (order by p_name, p_partkey)::int as nth from part")
 def plain_sort(spark, sf):
-    return read(spark, sf, "part").select("p_name", F.row_number().over(Window.orderBy("p_name", "p_partkey")).alias("nth"))
+    return ag.ranked(read(spark, sf, "part").select("p_name", "p_partkey"), "nth", "p_name", "p_partkey").select("p_name", "nth")
 
 
 @query("limit_100", "select c_custkey, c_name from customer where c_name ilike '%1%' or c_mktsegment ilike '%1%' order by c_name limit 100")
@@ -427,10 +439,12 @@ def refine_boundary_patches(spark, sf):
     return new.groupBy(*POINT).agg(F.coalesce(F.max_by("new", "pid"), F.first("lab")).alias("lab"))
 
 
-@query("predict_boundary_votes", None)
+@query("predict_boundary_votes", vox_sql(f"select v.vec_id, v.z, v.y, v.x, count(*) filter (p.share >= 0.5)::bigint as votes from vox v join (select vec_id, a.i, b.i as j, c.i as k, avg(boundary) as share from (select *, ({DIFFERS})::int as boundary from fac), range(3) a(i), range(3) b(i), range(3) c(i) where z between a.i and a.i + 1 and y between b.i and b.i + 1 and x between c.i and c.i + 1 group by all) p on v.vec_id = p.vec_id and z between i and i + 1 and y between j and j + 1 and x between k and k + 1 group by all", FAC))
 def predict_boundary_votes(spark, sf):
+    """Per voxel how many of the patches around it are predicted to hold a boundary; the model here is the share of boundary voxels."""
     rows = se.patches(st.gradient_faces(embedding_voxels(spark, sf)), SHAPE, 2, 1)
-    return rows.groupBy(*POINT).agg(F.sum("boundary").alias("votes"))
+    share = F.avg("boundary").over(Window.partitionBy("vec_id", "patch_id"))
+    return rows.withColumn("hit", share >= 0.5).groupBy(*POINT).agg(F.count_if("hit").alias("votes"))
 
 
 @query("split_subvolumes", vox_sql("select vec_id, z, y, x, a.i::int as sz, (z // 2 = a.i) as core from vox, range(2) a(i) where z between a.i * 2 - 1 and a.i * 2 + 2"))

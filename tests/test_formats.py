@@ -177,8 +177,8 @@ def test_writers(spark, sf, tmp_path):
     back = to_voxels(vo.read_volumes(spark, str(tmp_path / "v")).withColumn("vec_id", F.regexp_extract("path", r"(\d+)\.nrrd", 1).cast("bigint")))
     assert back.exceptAll(to_voxels(blocks)).isEmpty() and back.count() == 192
     one = to_blocks(to_voxels(blocks).where("vec_id = 1"), edge=2)
-    vo.write_zarr(one, str(tmp_path / "z"), (4, 4, 4), 2)
-    got = to_voxels(vo.read_zarr(spark, str(tmp_path / "z")).withColumn("vec_id", F.lit(1).cast("bigint")))
+    vo.write_zarr(one, str(tmp_path / "z7"), (4, 4, 4), 2)
+    got = to_voxels(vo.read_zarr(spark, str(tmp_path / "z7")).withColumn("vec_id", F.lit(1).cast("bigint")))
     assert got.exceptAll(to_voxels(blocks).where("vec_id = 1")).isEmpty()
     vo.write_slices(blocks, str(tmp_path / "p"))
     assert len(list((tmp_path / "p").glob("*/*.png"))) == 12

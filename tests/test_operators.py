@@ -81,6 +81,27 @@ def test_band_join_is_exact(spark):
     assert got == {(s, t) for s in sizes for t in sizes if 0.9 * s < t < 1.1 * s}
 
 
+@pytest.mark.parametrize("edge", [1, 2, 64])
+def test_nearest_by_definition(spark, edge):
+    """Cells of any edge find the nearest voxel and the least payload of equals; volumes without one have no row."""
+    from stratavox.operators.joins import nearest
+
+    r = np.random.default_rng(edge)
+    a = [(v, *map(int, p)) for v in range(3) for p in r.integers(0, 23, (40, 3))]
+    b = [(v, *map(int, p), int(r.integers(0, 5))) for v in range(2) for p in r.integers(0, 23, (6, 3))]
+    got = nearest(spark.createDataFrame(a, "vec_id bigint, z int, y int, x int"), spark.createDataFrame(b, "vec_id bigint, z int, y int, x int, lab int"), "lab", edge).collect()
+    want = {p: min((sum((i - j) ** 2 for i, j in zip(p[1:], q[1:4])), q[4]) for q in b if q[0] == p[0]) for p in a if p[0] < 2}
+    assert {(x.vec_id, x.z, x.y, x.x): (x.d2, x.lab) for x in got} == want and len(got) == len(want)
+
+
+def test_ranks_of_the_whole_table(spark):
+    from stratavox.operators.aggregates import ranked
+
+    rows = spark.range(0, 5000, 1, 7).withColumn("k", F.col("id") * 7919 % 5003)
+    got = ranked(rows, "nth", "k").collect()
+    assert [x.nth for x in sorted(got, key=lambda x: x.k)] == list(range(1, 5001))
+
+
 def test_labels_lists():
     assert selection.parse_labels("ALL") is None and selection.parse_labels("none") == [] and selection.parse_labels("1, 2,") == [1, 2]
     with pytest.raises(ValueError):
