@@ -24,6 +24,8 @@ from .common import map_batches, stored
 
 SIDE = 24
 TILE = SIDE * SIDE
+#: The palette of an 8-bit grey BMP: blue, green, red and a spare byte of each level.
+GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 4, 1) * np.array([1, 1, 1, 0], np.uint8)
 
 
 def encode_pgm(pixels: np.ndarray) -> bytes:
@@ -36,7 +38,7 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     h, w = pixels.shape
     pad = -w % 4
     rows = np.pad(pixels[::-1], ((0, 0), (0, pad)))
-    palette = b"".join(bytes((i, i, i, 0)) for i in range(256))
+    palette = GREYS.tobytes()
     start = 14 + 40 + len(palette)
     head = b"BM" + struct.pack("<IHHI", start + rows.size, 0, 0, start)
     return head + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8, 0, rows.size, 2835, 2835, 256, 0) + palette + rows.tobytes()
