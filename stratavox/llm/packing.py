@@ -265,11 +265,17 @@ def slots_of(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarra
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, paths: tuple[str, str] | None = None, **search) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request)."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
+
+    Two constants besides, for the gap of the search: ``n_sequences`` of this packing and ``least_sequences``
+    that any packing needs at least.
+    """
     pieces = stored(token_pieces(docs, capacity, keep_ids, paths), "pieces")
     counts = pieces.groupBy("length", "part").agg((F.max("local_rank") + 1).alias("n"))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``capacity`` rows
-    table = slots_of(bin_completion(histogram, capacity, **search))
+    plan = bin_completion(histogram, capacity, **search)
+    n_sequences, least_sequences = sum(n for _, n in plan), lower_bound(histogram, capacity)
+    table = slots_of(plan)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint").alias("earlier"))
     ranked = pieces.join(counts, ["length", "part"])
@@ -292,4 +298,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, path
         return kernel
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint" + (", ids array<int>" if keep_ids else "")
-    return map_batches(ranked, schema, make, rows=10_000)
+    out = map_batches(ranked, schema, make, rows=10_000)
+    return out.withColumns({"n_sequences": F.lit(n_sequences).cast("bigint"), "least_sequences": F.lit(least_sequences).cast("bigint")})

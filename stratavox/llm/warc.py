@@ -3,7 +3,8 @@
 Records are grouped into frames that decompress on their own; a bundle is a run of frames and a
 footer seek table in a skippable frame (the public seekable format).  Bundles are rows of a table in
 the shared folder, each with the index of its records, so that one record is read by decompressing
-one frame.  Pages with equal payloads are stored once; the others become revisit records.
+one frame.  Pages with equal payloads are stored once; the others become revisit records.  A record's id
+names its page and its payload, so pages of one page_id that differ have ids of their own.
 
 Edge cases, all defined: a null html is an empty payload (a response); a null url is ``urn:unknown``
 and control characters in a url are percent-encoded; in a group of equal payloads rows that repeat
@@ -60,12 +61,17 @@ def _clean_url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:unknown"
 
 
+def record_id_of(page_id: int | None, digest: str) -> str:
+    """``<urn:page:PAGE:DIGEST>`` with the first 64 bits of the payload's SHA-1; no page number for a null page_id."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}>"
+
+
 def format_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> tuple[str, bytes]:
     """(record id, bytes) of a response record, or of a revisit one where ``refers_to`` is given.
 
     The record's block is an HTTP head, which tells the payload's length, and for a response the payload.
     """
-    record_id = f"<urn:page:{'' if page_id is None else page_id}>"
+    record_id = record_id_of(page_id, digest)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head + (payload if refers_to is None else b"")
     lines = [
@@ -79,7 +85,7 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, digest:
         f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id_of(refers_to, digest)}"]
     return record_id, "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -100,7 +106,7 @@ def parse_record(raw: bytes) -> dict:
 
 
 def page_of(record_id: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]{16}>", record_id or "")
     return int(found[1]) if found else None
 
 
@@ -184,6 +190,28 @@ def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
     return bundles.select("data", "index").mapInArrow(run, schema)
 
 
+def record_index(bundles: DataFrame) -> DataFrame:
+    """record_id, page_id, bundle_id, frame, offset and length of every record: where to read it, without its bundle's data."""
+    return bundles.select("bundle_id", F.explode("index").alias("at")).select("at.record_id", "at.page_id", "bundle_id", "at.frame", "at.offset", "at.length")
+
+
+def fetch_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records, payloads included, whose ids are in ``wanted.record_id``; ids that no bundle holds give no row.
+
+    Of each bundle only the frames are decompressed in which a wanted record lies; what is gathered for a
+    bundle is part of its own index, which ``bundle_bytes`` bounds.
+    """
+    spots = record_index(bundles).join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    asked = spots.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length"))).alias("index"))
+    return read_bundles(bundles.select("bundle_id", "data").join(asked, "bundle_id"), with_payload=True)
+
+
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisit rows of ``read_bundles`` for which no response has the page_id, digest and size that they refer to."""
+    response = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return records.where("record_type = 'revisit'").join(response, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def archive(pages: DataFrame) -> DataFrame:
     """Write all pages as bundles to the shared folder; the returned table has one row a bundle."""
     return stored(write_bundles(plan_records(pages)), "warc")

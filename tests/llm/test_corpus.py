@@ -513,6 +513,7 @@ def test_pieces(spark):
     for places in used.values():
         places.sort()
         assert [o for o, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and sum(n for _, n in places) <= 2048
+    assert {(r.n_sequences, r.least_sequences) for r in got} == {(len(used), -(-sum(r.length for r in got) // 2048))}
 
 
 def test_ids_equal_the_tokenizer(spark, sf):
@@ -765,6 +766,26 @@ def test_archives(spark):
     assert hashlib.sha1(same.encode()).hexdigest() == next(r.payload_digest for r in got if r.page_id == 1)
 
 
+def test_record_lookup(spark):
+    r = random.Random(1)
+    same = sentence(r, 300)
+    rows = [(i, "u", sentence(r, 200)) for i in range(60)] + [(100, "u", same), (101, "u", same), (7, "u", "another of one page_id"), (None, "u", "no id")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    plan = warc.plan_records(df)
+    bundles = common.stored(warc.write_bundles(plan, frame_bytes=2000, bundle_bytes=8000), "warc")
+    index = {x.record_id: x for x in warc.record_index(bundles).collect()}
+    assert len(index) == len(rows) and len({x.bundle_id for x in index.values()}) > 3 and max(x.frame for x in index.values()) > 0
+    ask = [warc.record_id_of(k, hashlib.sha1(html.encode()).hexdigest()) for k, _, html in rows if k in (3, 7, 59, 100, None)]
+    got = warc.fetch_records(bundles, spark.createDataFrame([(x,) for x in [*ask, ask[0], "<urn:page:9:none>", None]], "record_id string")).collect()
+    want = [(k, (html if k != 100 else "").encode()) for k, _, html in rows if k in (3, 7, 59, 100, None)]
+    assert sorted(((x.page_id, bytes(x.payload)) for x in got), key=str) == sorted(want, key=str)
+    assert [x.refers_to for x in got if x.page_id == 100] == [101]
+    assert warc.fetch_records(bundles, spark.createDataFrame([], "record_id string")).count() == 0
+    records = warc.read_bundles(bundles)
+    assert warc.broken_revisits(records).count() == 0
+    assert [x.page_id for x in warc.broken_revisits(records.where("page_id is null or page_id <> 101")).collect()] == [100]
+
+
 def test_seek_table():
     import zstandard
 
