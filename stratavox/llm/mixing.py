@@ -173,18 +173,27 @@ def mix(docs: DataFrame, block_tokens: int = 1024, max_epochs: int = 3, weights:
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, columns of ``docs``, in the order of the schedule: whole copies of each row, and of what is left the first words.
 
-    A copy stands in the slot that brings its first word, rows of one slot in the order of their source.  A cut copy has
+    A copy stands in the slot that brings its first word, rows of one slot in the order of their source.  Rows that share
+    id, text and source are numbered to meet their shares one by one; all others go straight to theirs.  A cut copy has
     its words joined by one space and, where there is ``n_chars``, its own count.
     """
     own = "__mix"
     while any(c.lower().startswith(own) for c in docs.columns):
         own += "_"
     col = lambda name: F.col(f"{own}{name}")
-    plan = mix(docs, keyed=True, **options).where("taken > 0").select("doc_id", *(F.col(c).alias(f"{own}{c}") for c in ("key", "start", "slots", "size", "taken"))).withColumnRenamed("doc_id", f"{own}id")
-    plan = plan.withColumn(f"{own}nth", F.row_number().over(Window.partitionBy(f"{own}id", f"{own}key").orderBy(F.desc(f"{own}taken"), f"{own}start")))
+    plan = mix(docs, keyed=True, **options).select("doc_id", *(F.col(c).alias(f"{own}{c}") for c in ("key", "start", "slots", "size", "taken"))).withColumnRenamed("doc_id", f"{own}id")
+    same = Window.partitionBy(f"{own}id", f"{own}key")
+    plan = plan.withColumn(f"{own}nth", F.row_number().over(same.orderBy(F.desc(f"{own}taken"), f"{own}start"))).withColumn(f"{own}rows", F.count("*").over(same))
+    plan = stored(plan.where(col("taken") > 0), "mix-plan")
+    # texts that stand in one row only are not moved to be numbered
+    repeated = stored(plan.where((col("rows") > 1) & (col("nth") == 1)).select(f"{own}id", f"{own}key"), "mix-repeated")
     rows = docs.withColumn(f"{own}own", row_key())
-    rows = rows.withColumn(f"{own}n", F.row_number().over(Window.partitionBy("doc_id", f"{own}own").orderBy(f"{own}own")))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(col("id")) & (col("own") == col("key")) & (col("n") == col("nth")))
+    single = rows.withColumn(f"{own}n", F.lit(1))
+    if not repeated.isEmpty():
+        is_repeated = F.col("doc_id").eqNullSafe(col("id")) & (col("own") == col("key"))
+        numbered = rows.join(repeated, is_repeated, "left_semi").withColumn(f"{own}n", F.row_number().over(Window.partitionBy("doc_id", f"{own}own").orderBy(f"{own}own")))
+        single = single.join(repeated, is_repeated, "left_anti").unionByName(numbered)
+    rows = single.join(plan, F.col("doc_id").eqNullSafe(col("id")) & (col("own") == col("key")) & (col("n") == col("nth")))
     copies = F.expr(f"transform(sequence(0L, ({own}taken - 1) div {own}size), i -> least({own}size, {own}taken - i * {own}size))")
     rows = rows.select(*docs.columns, *(f"{own}{c}" for c in ("start", "slots", "size")), F.posexplode(copies).alias(f"{own}copy", f"{own}words"))
     cut = col("words") < col("size")

@@ -390,6 +390,26 @@ def test_mixed_documents(spark):
     assert {r.text for r in out if len(words(r.text)) == 5} <= {"d  e\nf g h"}
 
 
+def test_repeated_rows_meet_their_shares_one_by_one(spark):
+    """Rows of one id, text and source, null ids among them: each comes as often as one row of the plan, however they mix with single rows."""
+    r = random.Random(12)
+    twice, no_id = sentence(r, 30), sentence(r, 20)
+    rows = [(i, sentence(r, r.randint(1, 40)), None, "ab"[i % 2], 1) for i in range(60)]
+    rows += [(100, twice, None, "a", 1)] * 5 + [(None, no_id, None, "b", 1)] * 4 + [(101, twice, None, "a", 1)] + [(102, None, None, "a", 1)] * 2
+    df = frame(spark, rows).withColumn("nth_row", F.monotonically_increasing_id())
+    got = defaultdict(list)
+    for r in mixing.apply_mix(df, block_tokens=16).collect():
+        got[r.nth_row].append(len(words(r.text)))
+    row_of = {r.nth_row: (r.doc_id, words(r.text or "")) for r in df.collect()}
+    taken, want = defaultdict(list), defaultdict(list)
+    for n, lengths in got.items():
+        taken[row_of[n][0]].append(sum(lengths))
+        assert sum(lengths) <= 3 * len(row_of[n][1])
+    for r in mixing.mix(df, block_tokens=16).where("taken > 0").collect():
+        want[r.doc_id].append(r.taken)
+    assert {k: sorted(v) for k, v in taken.items()} == {k: sorted(v) for k, v in want.items()} and len(taken[100]) == 5 and len(taken[None]) == 4
+
+
 # 6 quality
 
 
