@@ -39,6 +39,31 @@ def gradient_faces(df: DataFrame, label: str = "lab") -> DataFrame:
     return rows.withColumn("boundary", _any([F.coalesce(F.col(n) != F.col(label), F.lit(False)) for n in NAMES]).cast("int")).drop(*NAMES)
 
 
+#: Colours of label contours, red, green and blue; a volume's labels take them in ascending order, round and round.
+CONTOUR_COLOURS = (
+    (255, 0, 0), (255, 255, 0), (0, 0, 255), (0, 100, 0), (0, 255, 0), (255, 165, 0), (139, 0, 0), (255, 20, 147), (255, 105, 180),
+    (255, 0, 0), (139, 0, 139), (255, 0, 255), (160, 32, 240), (184, 134, 11), (255, 185, 15), (255, 215, 0), (0, 191, 255), (16, 78, 139),
+    (104, 131, 139), (255, 64, 64), (165, 42, 42), (255, 127, 36), (139, 90, 43), (110, 139, 61), (0, 255, 127), (255, 127, 80), (139, 10, 80),
+    (219, 112, 147), (178, 34, 34), (255, 48, 48), (205, 79, 57), (160, 32, 240), (255, 100, 0),
+)
+
+
+def label_contours(df: DataFrame, grey: str, label: str = "lab") -> DataFrame:
+    """r, g, b of slice previews: the grey value, and the label's colour where it meets another label within the slice.
+
+    Label 0 is background and has no contour.
+    """
+    numbers = df.where(F.col(label) != 0).select(*KEY, F.col(label).alias("__label")).distinct()
+    numbers = numbers.withColumn("__nth", (F.row_number().over(Window.partitionBy(*KEY).orderBy("__label")) - 1) % len(CONTOUR_COLOURS))
+    meets = _any([F.coalesce(neighbour(label, a, s) != F.col(label), F.lit(False)) for a in ("y", "x") for s in (-1, 1)])
+    rows = own_rows(by_tile(df).withColumn("__label", F.when(meets & (F.col(label) != 0), F.col(label))))
+    rows = rows.join(numbers, [*KEY, "__label"], "left")
+    for i, c in enumerate("rgb"):
+        colour = F.get(F.array(*(F.lit(x[i]) for x in CONTOUR_COLOURS)), F.col("__nth"))
+        rows = rows.withColumn(c, F.when(F.col("__nth").isNull(), F.col(grey)).otherwise(colour).cast("int"))
+    return rows.drop("__label", "__nth")
+
+
 def face_gradient(df: DataFrame, value: str = "v") -> DataFrame:
     """Forward differences gz, gy, gx; 0 at the end of a line."""
     return own_rows(by_tile(df).withColumns({f"g{a}": F.coalesce(neighbour(value, a, 1) - F.col(value), F.lit(0.0)) for a in AT}))
