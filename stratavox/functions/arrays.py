@@ -356,6 +356,22 @@ def rotation(alpha: float, beta: float, gamma: float) -> np.ndarray:
     return rx @ ry @ rz
 
 
+def turned(a: np.ndarray, matrix: np.ndarray, nearest: bool = False) -> np.ndarray:
+    """``a`` turned about half its size: a point takes what lies at its place times ``matrix``, between voxels by weights or, for
+    labels, from the nearest one; places outside take the edge."""
+    top = np.array(a.shape)[:, None] - 1
+    centre = np.array(a.shape)[:, None] / 2
+    place = matrix @ (np.indices(a.shape).reshape(3, -1) - centre) + centre
+    if nearest:
+        return a[tuple(np.clip(np.rint(place).astype(int), 0, top))].reshape(a.shape)
+    base = np.floor(place)
+    part, out = place - base, np.zeros(a.size)
+    for corner in np.ndindex(2, 2, 2):
+        step = np.array(corner)[:, None]
+        out += np.prod(np.where(step, part, 1 - part), axis=0) * a[tuple(np.clip((base + step).astype(int), 0, top))]
+    return out.reshape(a.shape)
+
+
 def rotate_mask(mask: np.ndarray, matrix: np.ndarray, gather: bool = True) -> np.ndarray:
     """The mask turned about its centre, nearest voxel, clamped: gathered by the inverse or scattered forward."""
     mask = np.asarray(mask) != 0

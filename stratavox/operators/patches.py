@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..volume import AT, KEY, POINT, map_rows
+from ..functions import arrays
+from ..volume import AT, KEY, POINT, map_rows, map_volumes
 from .selection import patches
 
 
@@ -42,3 +43,9 @@ def predict(voxels: DataFrame, shape: tuple[int, int, int], size: int, stride: i
     found = map_rows(cubes, "vec_id bigint, z int, y int, x int, label int, p double", run, rows=128)
     total = found.groupBy(*POINT, "label").agg(F.sum("p").alias("p"))
     return total.groupBy(*POINT).agg(F.max_by("label", F.struct("p", -F.col("label"))).alias("label"))
+
+
+def augment_rotation(patches: DataFrame, alpha: float, beta: float = 0.0, gamma: float = 0.0, column: str = "data", labels: bool = False) -> DataFrame:
+    """Training patches, blocks of one patch each, turned by angles in radians about z, y and x; ``labels`` take the nearest voxel."""
+    matrix = arrays.rotation(alpha, beta, gamma)
+    return map_volumes(patches, lambda a: arrays.turned(a, matrix, labels), (column,), "array<double>", tuple(AT))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import mesh as me
+from ..operators import patches as pt
 from ..operators import regions as rg
 from ..operators import scalar as sc
 from ..operators import selection as se
@@ -109,6 +110,31 @@ def augment(spark, sf):
     return sc.orient(embedding_voxels(spark, sf).select(*POINT, "v"), ("y", "z", "x"), (False, True, False), SHAPE)
 
 
+#: Angles about z, y and x of the turned patches.
+TURN_2D, TURN_3D = (0.5, 0.0, 0.0), (0.5, 0.3, -0.7)
+
+
+def _turned_sql(angles: tuple[float, float, float]) -> str:
+    m = arrays.rotation(*angles)
+    place = [" + ".join(f"({float(m[i, j])!r})::double * ({c} - 2)" for j, c in enumerate("zyx")) + " + 2" for i in range(3)]
+    at = lambda value, kind, steps: f"{value}[1 + " + " + ".join(f"{n} * greatest(0, least(3, {kind}(s{c}) + {k}))::int" for n, c, k in zip((16, 4, 1), "zyx", steps)) + "]"
+    weight = lambda c, k: f"(s{c} - floor(s{c}))" if k else f"(1 - s{c} + floor(s{c}))"
+    corners = [f"{' * '.join(weight(c, k) for c, k in zip('zyx', s))} * {at('vs', 'floor', s)}" for s in np.ndindex(2, 2, 2)]
+    views = ["a as (select vec_id, list(v order by z, y, x) as vs, list(lab order by z, y, x) as ls from vox group by vec_id)", f"s as (select vec_id, z, y, x, vs, ls, {', '.join(f'{e} as s{c}' for c, e in zip('zyx', place))} from vox join a using (vec_id))"]
+    return vox_sql(f"select vec_id, z, y, x, round({' + '.join(corners)}, 6) as v, {at('ls', 'round', (0, 0, 0))}::int as lab from s", *views)
+
+
+def _turned(spark, sf, angles):
+    blocks = label_blocks(spark, sf)
+    image = to_voxels(pt.augment_rotation(blocks, *angles), value="v").withColumn("v", r6("v"))
+    label = to_voxels(pt.augment_rotation(blocks, *angles, column="lab", labels=True), value="lab").withColumn("lab", F.col("lab").cast("int"))
+    return image.join(label, POINT)
+
+
+for _name, _angles in (("augment_rotate2d", TURN_2D), ("augment_rotate3d", TURN_3D)):
+    query(_name, _turned_sql(_angles))(lambda spark, sf, angles=_angles: _turned(spark, sf, angles))
+
+
 @query("correct_match")
 def correct_match(spark, sf):
     turn = arrays.rotation(0, 0, 0)
