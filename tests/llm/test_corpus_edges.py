@@ -61,8 +61,8 @@ def test_stages(spark, tmp_path):
             out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{name}")
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-        assert last.count() == (0 if docs.isEmpty() else last.count())
-        assert last.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (last.count() == 0) == docs.isEmpty()
+        assert last.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_sequences", "least_sequences"]
 
 
 def test_stages_keep_and_drop(spark, tmp_path):
