@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..volume import AT, KEY, POINT, TILE, by_tile, faces, line, neighbour, own_rows
+from ..volume import AT, KEY, OWN, POINT, TILE, by_tile, faces, line, neighbour, own_rows
 
 
 def with_faces(df: DataFrame, value: str) -> DataFrame:
@@ -142,12 +142,18 @@ def surface_distances(df: DataFrame, label: str = "lab", shape: tuple[int, int,
     return rows.select(*POINT, label, F.sqrt(square).alias("distance"))
 
 
-def neighbours_26(df: DataFrame, values: list[str]) -> DataFrame:
-    """Rows of voxel pairs within one step, the centre included: the offsets are exploded, then one equi-join."""
-    out = df.select(*POINT, *(F.col(v).alias(f"n_{v}") for v in values))
+def box_most(df: DataFrame, value: str) -> DataFrame:
+    """Per voxel ``n`` and ``high``: the number of voxels within one step, itself included, and their greatest ``value``.
+
+    Axis by axis each voxel tells the places before and after it what it has gathered, after one shuffle by tile; so
+    gaps and repeated voxels count as in a join of the voxels with themselves.
+    """
+    group = [*KEY, *TILE, *AT]
+    rows = by_tile(df.select(*POINT, F.col(value).alias("high"))).groupBy(*group).agg(F.count("*").alias("n"), F.max("high").alias("high"), F.count_if(OWN).alias("__mine"))
     for c in AT:
-        out = out.withColumn(f"d{c}", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(c, F.col(c) - F.col(f"d{c}"))
-    return df.join(out, POINT)
+        rows = rows.withColumn("__d", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn(c, F.col(c) + F.col("__d"))
+        rows = rows.groupBy(*group).agg(F.sum("n").alias("n"), F.max("high").alias("high"), F.sum(F.when(F.col("__d") == 0, F.col("__mine")).otherwise(0)).alias("__mine"))
+    return rows.where("__mine > 0").select(*POINT, (F.col("n") * F.col("__mine")).alias("n"), "high")
 
 
 def absorb_embedded(df: DataFrame, shape: tuple[int, int, int], share: float = 0.5, label: str = "lab") -> DataFrame:

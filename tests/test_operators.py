@@ -102,6 +102,20 @@ def test_nearest_voxels_are_not_broadcast(name, spark, sf):
     assert "Broadcast" not in catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_box_most_is_the_self_join(spark, sf, duck):
+    """Gaps, repeated voxels and tile borders count as in the join; nothing is joined or broadcast."""
+    r = np.random.default_rng(3)
+    rows = [(int(r.integers(0, 2)), *map(int, r.integers(61, 67, 3)), int(r.integers(0, 9))) for _ in range(150)]
+    got = sten.box_most(spark.createDataFrame(rows, "vec_id bigint, z int, y int, x int, lab int"), "lab")
+    near = lambda p: [q for q in rows if q[0] == p[0] and max(abs(i - j) for i, j in zip(p[1:4], q[1:4])) <= 1]
+    assert len({p[:4] for p in rows}) < len(rows)
+    assert {tuple(x) for x in got.collect()} == {(*p[:4], len(near(p)) * sum(q[:4] == p[:4] for q in rows), max(q[4] for q in near(p))) for p in rows}
+    from stratavox.plans import catalogue
+
+    plan = catalogue.queries()["stencil_self_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_ranks_of_the_whole_table(spark):
     from stratavox.operators.aggregates import ranked
 
