@@ -8,7 +8,8 @@ than some blocks and their shells.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import product
 
 import numpy as np
@@ -33,21 +34,46 @@ def _array(batch: pa.RecordBatch, column: str, i: int) -> np.ndarray:
     return np.asarray(batch.column(column)[i].values, float).reshape(_shape(batch, i))
 
 
+def _alike(batch: pa.RecordBatch, columns: list[str], voxels: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Numbers of the rows that agree in ``columns``, about ``voxels`` of them at a time: kernels take these at once."""
+    kinds, which = np.unique(np.stack([batch.column(k).to_numpy() for k in (*SIZES, *columns)], 1), axis=0, return_inverse=True)
+    for k, kind in enumerate(kinds):
+        at, many = np.flatnonzero(which.ravel() == k), max(1, voxels // int(np.prod(kind[:3] + 2)))
+        yield from (at[i : i + many] for i in range(0, len(at), many))
+
+
+def _stack(lists: pa.ListArray, at: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """The lists of some rows as one array (row, z, y, x)."""
+    n, offsets = int(np.prod(shape)), lists.offsets.to_numpy()
+    if (offsets[at + 1] - offsets[at] != n).any():
+        raise ValueError("blocks of a volume do not meet: they must tile it")
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[at][:, None] + np.arange(n)].astype(float).reshape(-1, *shape)
+
+
+def _lists(parts: list[np.ndarray], kind: type = float) -> pa.ListArray:
+    """A list for each row of each array."""
+    lengths = np.concatenate([np.zeros(1, int), *(np.full(len(p), p[0].size if len(p) else 0) for p in parts)])
+    values = np.concatenate([np.empty(0, kind), *(p.ravel().astype(kind) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(values))
+
+
 def cut(blocks: DataFrame, edge: int, columns: tuple[str, ...]) -> DataFrame:
     """Blocks cut along multiples of ``edge``; blocks that are small enough stay, nothing is shuffled."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in (*PLACE, *columns)}
-        for i in range(batch.num_rows):
-            origin = [batch.column(k)[i].as_py() for k in GRID[1:]]
-            data = [_array(batch, c, i) for c in columns]
-            spans = [[(max(o, k * edge), min(o + n, (k + 1) * edge)) for k in range(o // edge, -(-(o + n) // edge))] for o, n in zip(origin, _shape(batch, i))]
+        rows, boxes, parts = [np.empty(0, int)], [np.empty((0, 6), int)], {c: [] for c in columns}
+        for at in _alike(batch, GRID[1:]):
+            origin, shape = [batch.column(k)[int(at[0])].as_py() for k in GRID[1:]], _shape(batch, int(at[0]))
+            data = {c: _stack(batch.column(c), at, shape) for c in columns}
+            spans = [[(max(o, k * edge), min(o + n, (k + 1) * edge)) for k in range(o // edge, -(-(o + n) // edge))] for o, n in zip(origin, shape)]
             for box in product(*spans):
-                part = tuple(slice(a - o, b - o) for (a, b), o in zip(box, origin))
-                values = (batch.column("vec_id")[i].as_py(), *(a for a, _ in box), *(b - a for a, b in box), *(d[part].ravel() for d in data))
-                for k, v in zip(out, values):
-                    out[k].append(v)
-        return out
+                part = (slice(None), *(slice(a - o, b - o) for (a, b), o in zip(box, origin)))
+                rows.append(at)
+                boxes.append(np.tile([*(a for a, _ in box), *(b - a for a, b in box)], (len(at), 1)))
+                for c in columns:
+                    parts[c].append(data[c][part])
+        places = np.concatenate(boxes).astype(np.int32)
+        return {"vec_id": batch.column("vec_id").take(pa.array(np.concatenate(rows))), **dict(zip(PLACE[1:], places.T)), **{c: _lists(parts[c]) for c in columns}}
 
     return map_rows(blocks.select(*PLACE, *columns), BLOCK + "".join(f", {c} array<double>" for c in columns), run, rows=32)
 
@@ -198,33 +224,41 @@ STEPS = [s for s in product((-1, 0, 1), repeat=3) if any(s)]
 SHELL = "dz int, dy int, dx int, dist array<double>, lab array<bigint>, image array<double>"
 
 
+def _rows(edge: int) -> int:
+    """Blocks of an edge that a task returns at a time."""
+    return max(16, (1 << 18) // (edge + 2) ** 3)
+
+
 def _shells(state: DataFrame, edge: int) -> DataFrame:
     """What changed blocks tell the blocks around them: the layer of voxels next to each."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        names = (*GRID, "dz", "dy", "dx", "dist", "lab", "image")
-        out: dict[str, list] = {k: [] for k in names}
-        for i in range(batch.num_rows):
-            shape, origin = _shape(batch, i), [batch.column(k)[i].as_py() for k in GRID[1:]]
-            data = [_array(batch, c, i) for c in ("dist", "lab", "image")]
+        origins = np.stack([batch.column(k).to_numpy() for k in GRID[1:]], 1)
+        rows, places, parts = [np.empty(0, int)], [np.empty((0, 6), int)], {c: [] for c in ("dist", "lab", "image")}
+        for at in _alike(batch, []):
+            shape = _shape(batch, int(at[0]))
+            data = {c: _stack(batch.column(c), at, shape) for c in parts}
             for step in STEPS:
-                if any(s > 0 and n < edge for s, n in zip(step, shape)) or any(s < 0 and o == 0 for s, o in zip(step, origin)):
+                if any(s > 0 and n < edge for s, n in zip(step, shape)):
                     continue  # the volume ends there
+                tell = np.flatnonzero(((origins[at] != 0) | (np.array(step) >= 0)).all(1))
                 part = tuple(slice(-1, None) if s > 0 else slice(0, 1) if s < 0 else slice(None) for s in step)
-                shell = [d[part].ravel() for d in data]
-                target = [o // edge * edge + s * edge for o, s in zip(origin, step)]
-                for k, v in zip(names, (batch.column("vec_id")[i].as_py(), *target, *(-s for s in step), shell[0], shell[1].astype(np.int64), shell[2])):
-                    out[k].append(v)
-        return out
+                rows.append(at[tell])
+                places.append(np.concatenate([origins[at[tell]] // edge * edge + np.array(step) * edge, np.tile([-s for s in step], (len(tell), 1))], 1))
+                for c in parts:
+                    parts[c].append(data[c][(tell, *part)])
+        targets = np.concatenate(places).astype(np.int32)
+        return {"vec_id": batch.column("vec_id").take(pa.array(np.concatenate(rows))), **dict(zip((*GRID[1:], "dz", "dy", "dx"), targets.T)), **{c: _lists(p, np.int64 if c == "lab" else float) for c, p in parts.items()}}
 
-    return map_rows(state.where("changed").select(*PLACE, "dist", "lab", "image"), f"vec_id bigint, z0 int, y0 int, x0 int, {SHELL}", run, rows=16)
+    return map_rows(state.where("changed").select(*PLACE, "dist", "lab", "image"), f"vec_id bigint, z0 int, y0 int, x0 int, {SHELL}", run, rows=_rows(edge))
 
 
 def settle(blocks: DataFrame, edge: int, seeds: str, image: str | None = None, where: str | None = None, lam: float | None = None, max_rounds: int = 10_000) -> DataFrame:
     """Blocks with ``dist`` and ``lab`` of ``arrays.propagate`` over the whole volume; costs by ``lam`` if given, else by length.
 
-    A round relaxes the blocks that were told something; the number of rounds is that of the blocks which the
-    longest way goes through.  Raises if distances still change after ``max_rounds``.
+    A round relaxes the blocks that were told something, those of one shape at once; the number of rounds is that of
+    the blocks which the longest way goes through.  Shells are merged with blocks, never broadcast: Spark takes them for
+    smaller than they are.  Raises if distances still change after ``max_rounds``.
     """
     rows = cut(blocks, edge, tuple(dict.fromkeys(c for c in (seeds, image, where) if c)))
     state = rows.select(
@@ -232,33 +266,43 @@ def settle(blocks: DataFrame, edge: int, seeds: str, image: str | None = None, w
         (F.col(image) if image else F.transform(seeds, lambda x: F.lit(0.0))).alias("image"), (F.col(where) if where else F.transform(seeds, lambda x: F.lit(1.0))).alias("mask"),
     )
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"dist": [], "lab": [], "changed": []}
-        for i in range(batch.num_rows):
-            shape = _shape(batch, i)
-            dist, lab, img, mask = (np.pad(_array(batch, c, i), 1, constant_values=e) for c, e in (("dist", np.inf), ("lab", 0), ("image", 0), ("mask", 0)))
-            for x in batch.column("shells")[i].as_py() or ():
-                at = tuple(slice(1, -1) if s == 0 else slice(n + 1, n + 2) if s > 0 else slice(0, 1) for s, n in zip((x["dz"], x["dy"], x["dx"]), shape))
-                if any(np.size(dist[at]) != len(x[k]) for k in ("dist", "lab", "image")):
-                    raise ValueError("blocks of a volume do not meet: they must tile it")
+    def run(batch: pa.RecordBatch, first: bool = False) -> dict:
+        told = batch.column("shells")
+        owner, shells = np.repeat(np.arange(batch.num_rows), told.value_lengths().fill_null(0).to_numpy()), told.flatten()
+        steps = np.stack([shells.field(k).to_numpy(zero_copy_only=False) for k in ("dz", "dy", "dx")], 1)
+        heard = np.bincount(owner, minlength=batch.num_rows) > 0
+        order, parts, changed = [np.empty(0, int)], {"dist": [], "lab": []}, [np.empty(0, bool)]
+        core = (slice(None), *(slice(1, -1) for _ in range(3)))
+        for at in _alike(batch, []):
+            shape = _shape(batch, int(at[0]))
+            place, now = np.full(batch.num_rows, -1), np.zeros(len(at), bool)
+            place[at] = np.arange(len(at))
+            dist, lab, img, mask = (np.pad(_stack(batch.column(c), at, shape), [(0, 0), *[(1, 1)] * 3], constant_values=e) for c, e in (("dist", np.inf), ("lab", 0), ("image", 0), ("mask", 0)))
+            own = place[owner] >= 0
+            for step in np.unique(steps[own], axis=0).tolist():
+                some = np.flatnonzero(own & (steps == step).all(1))
+                side = tuple(slice(1, -1) if s == 0 else slice(n + 1, n + 2) if s > 0 else slice(0, 1) for s, n in zip(step, shape))
                 for a, k in ((dist, "dist"), (lab, "lab"), (img, "image")):
-                    a[at] = np.reshape(x[k], a[at].shape)
-            cost = (lambda s: np.sqrt(sum(map(abs, s)))) if lam is None else arrays.geodesic_cost(img, lam)
-            new = arrays.propagate(lab, cost, where=mask, start=dist)
-            core = tuple(slice(1, -1) for _ in range(3))
-            out["changed"].append(bool((new[0][core] != dist[core]).any() or (new[1][core] != lab[core]).any()))
-            out["dist"].append(new[0][core].ravel())
-            out["lab"].append(new[1][core].ravel())
-        return {**{k: batch.column(k) for k in (*PLACE, "image", "mask")}, **out}
+                    a[(place[owner[some]], *side)] = _stack(shells.field(k), some, tuple(1 if s else n for s, n in zip(step, shape)))
+            on = np.flatnonzero(first | heard[at])
+            image_of = img[on]
+            cost = (lambda s: np.sqrt(sum(map(abs, s)))) if lam is None else arrays.geodesic_cost(image_of, lam)
+            new = arrays.propagate(lab[on], cost, where=mask[on], start=dist[on])
+            now[on] = ((new[0] != dist[on]) | (new[1] != lab[on]))[core].any((1, 2, 3))
+            dist[on], lab[on] = new
+            order.append(at)
+            changed.append(now)
+            parts["dist"].append(dist[core])
+            parts["lab"].append(lab[core])
+        rows = batch.take(pa.array(np.concatenate(order)))
+        return {**{k: rows.column(k) for k in (*PLACE, "image", "mask")}, "dist": _lists(parts["dist"]), "lab": _lists(parts["lab"], np.int64), "changed": np.concatenate(changed)}
 
     schema = f"{BLOCK}, image array<double>, mask array<double>, dist array<double>, lab array<bigint>, changed boolean"
     empty = F.lit(None).cast(f"array<struct<{SHELL.replace(' int', ': int').replace(' array', ': array')}>>")
-    state = written(map_rows(state.withColumn("shells", empty), schema, run, rows=16), "settle").withColumn("changed", F.lit(True))
+    state = written(map_rows(state.withColumn("shells", empty), schema, partial(run, first=True), rows=_rows(edge)), "settle").withColumn("changed", F.lit(True))
     for _ in range(max_rounds):
         told = _shells(state, edge).groupBy(*GRID).agg(F.collect_list(F.struct("dz", "dy", "dx", "dist", "lab", "image")).alias("shells"))
-        met = state.drop("changed").join(told, GRID, "left")
-        still = met.where("shells is null").drop("shells").withColumn("changed", F.lit(False))
-        state = written(map_rows(met.where("shells is not null"), schema, run, rows=16).unionByName(still), "settle")
+        state = written(map_rows(state.drop("changed").join(told.hint("merge"), GRID, "left"), schema, run, rows=_rows(edge)), "settle")
         if state.where("changed").isEmpty():
             return state
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")

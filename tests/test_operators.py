@@ -116,6 +116,17 @@ def test_box_most_is_the_self_join(spark, sf, duck):
     assert "Join" not in plan and plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["geodesic"])
+def test_blocks_of_one_shape_are_relaxed_at_once(name):
+    """Kernels take many blocks in one call, with the same results as one by one."""
+    r = np.random.default_rng(11)
+    seeds, image, where = r.integers(0, 3, (40, 3, 4, 2)) * (r.random((40, 3, 4, 2)) < 0.2), r.random((40, 3, 4, 2)), r.random((40, 3, 4, 2)) < 0.7
+    cost = {"geodesic": lambda a: ar.geodesic_cost(a, 0.4), "nearest": lambda a: lambda s: np.sqrt(sum(map(abs, s)))}[name]
+    got = ar.propagate(seeds, cost(image), where=where)
+    one = [ar.propagate(s, cost(i), where=w) for s, i, w in zip(seeds, image, where)]
+    assert (got[0] == np.array([d for d, _ in one])).all() and (got[1] == np.array([l for _, l in one])).all()
+
+
 def test_ranks_of_the_whole_table(spark):
     from stratavox.operators.aggregates import ranked
 
