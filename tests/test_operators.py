@@ -116,7 +116,7 @@ def test_box_most_is_the_self_join(spark, sf, duck):
     assert "Join" not in plan and plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("name", ["geodesic"])
+@pytest.mark.parametrize("name", ["geodesic", "nearest"])
 def test_blocks_of_one_shape_are_relaxed_at_once(name):
     """Kernels take many blocks in one call, with the same results as one by one."""
     r = np.random.default_rng(11)
