@@ -127,6 +127,14 @@ def test_blocks_of_one_shape_are_relaxed_at_once(name):
     assert (got[0] == np.array([d for d, _ in one])).all() and (got[1] == np.array([l for _, l in one])).all()
 
 
+def test_segments_of_one_shape_are_relaxed_at_once():
+    """Labels of the nearest seed by geodesic distance: many blocks in one call give what segmenting each gives."""
+    r = np.random.default_rng(12)
+    seeds, image = r.integers(0, 3, (30, 4, 3, 3)) * (r.random((30, 4, 3, 3)) < 0.2), r.random((30, 4, 3, 3))
+    got = ar.propagate(seeds, ar.geodesic_cost(image, 0.5))[1]
+    assert all((g == ar.geodesic_segment(i, s, 0.5)).all() for g, i, s in zip(got, image, seeds))
+
+
 def test_ranks_of_the_whole_table(spark):
     from stratavox.operators.aggregates import ranked
 
