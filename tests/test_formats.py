@@ -27,6 +27,15 @@ def test_round_trip(kind, dtype):
         assert np.allclose(got.spacing, (0.5, 1.0, 2.0))
 
 
+@pytest.mark.parametrize("encoding", ["HxByteRLE", ""])
+def test_amira_data_that_begin_like_white_space(encoding):
+    """The data begin right behind the line of their mark, whatever bytes they begin with: a first run of 10 is a line feed."""
+    for first in range(1, 65):
+        a = np.r_[np.full(first, 3), np.arange(64 - first) % 2].astype("u1").reshape(4, 4, 4)
+        a = a if encoding else np.where(a == 3, first, 10).astype("u1")
+        assert (fm.decode_amira(fm.encode_amira(fm.Volume(a, (1.0, 2.0, 1.5)), encoding))[0].data == a).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 255), st.integers(1, 300)), max_size=20))
 def test_rle(runs):
