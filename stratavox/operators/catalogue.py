@@ -34,8 +34,8 @@ def queue_for(size: Column, limit: float = 4.2e9) -> Column:
 
 
 def stalled(df: DataFrame, status: Column, since: str, now: Column, seconds: int) -> DataFrame:
-    """Jobs in a running state for longer than ``seconds``."""
-    return df.where(status & (F.unix_timestamp(now) - F.unix_timestamp(since) > seconds))
+    """Jobs in a running state for longer than ``seconds``, to the microsecond."""
+    return df.where(status & (now - F.col(since) > F.make_dt_interval(secs=F.lit(seconds))))
 
 
 def storage(df: DataFrame, owner: str, size: Column, quota: float) -> DataFrame:

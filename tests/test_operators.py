@@ -135,6 +135,16 @@ def test_segments_of_one_shape_are_relaxed_at_once():
     assert all((g == ar.geodesic_segment(i, s, 0.5)).all() for g, i, s in zip(got, image, seeds))
 
 
+def test_stalled_to_the_microsecond(spark):
+    from stratavox.operators.catalogue import stalled
+
+    at = ["2024-01-20 00:00:00.9", "2024-01-20 00:00:00.9000001", "2024-01-20 00:00:00.2", "2024-01-20 00:00:01.1"]
+    for kind in ("timestamp_ntz", "timestamp"):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "id int, t string").select("id", F.col("t").cast(kind).alias("ts"))
+        got = stalled(rows, F.lit(True), "ts", F.lit("2024-01-30 00:00:00.9").cast(kind), 864000)
+        assert [r.id for r in got.collect()] == [2]
+
+
 def test_ranks_of_the_whole_table(spark):
     from stratavox.operators.aggregates import ranked
 
