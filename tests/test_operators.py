@@ -308,3 +308,15 @@ def test_walk_queries_reach_every_voxel(spark, sf):
             assert all(got[r.vec_id].get((*at, int(k)), 0) == n for at, n in np.ndenumerate(h))
     labelled = plans.smart_interpolation(spark, sf).where("vec_id < 100").groupBy("vec_id").count().collect()
     assert len(seeded) > 50 and {r.vec_id: r["count"] for r in labelled} == {r.vec_id: 64 for r in seeded}
+
+
+def test_shells_are_not_broadcast(spark, monkeypatch):
+    """Spark takes shells for few rows: with its default threshold the driver would gather them."""
+    from stratavox.operators import tiled
+
+    plans, real = [], tiled.written
+    monkeypatch.setattr(tiled, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    seeds = np.zeros((4, 4, 4))
+    seeds[0, 0, 0] = 1
+    regions.chamfer(whole_block(spark, seeds=seeds), "seeds", edge=2).collect()
+    assert len(plans) > 2 and all("Broadcast" not in p for p in plans)
