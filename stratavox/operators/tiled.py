@@ -57,8 +57,8 @@ def _lists(parts: list[np.ndarray], kind: type = float) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(values))
 
 
-def cut(blocks: DataFrame, edge: int, columns: tuple[str, ...]) -> DataFrame:
-    """Blocks cut along multiples of ``edge``; blocks that are small enough stay, nothing is shuffled."""
+def cut(blocks: DataFrame, edge: int, columns: tuple[str, ...], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks cut along multiples of ``edge``, all with the ``numbers`` (int) of their row; blocks that are small enough stay, nothing is shuffled."""
 
     def run(batch: pa.RecordBatch) -> dict:
         rows, boxes, parts = [np.empty(0, int)], [np.empty((0, 6), int)], {c: [] for c in columns}
@@ -73,9 +73,10 @@ def cut(blocks: DataFrame, edge: int, columns: tuple[str, ...]) -> DataFrame:
                 for c in columns:
                     parts[c].append(data[c][part])
         places = np.concatenate(boxes).astype(np.int32)
-        return {"vec_id": batch.column("vec_id").take(pa.array(np.concatenate(rows))), **dict(zip(PLACE[1:], places.T)), **{c: _lists(parts[c]) for c in columns}}
+        taken = pa.array(np.concatenate(rows))
+        return {**{c: batch.column(c).take(taken) for c in ("vec_id", *numbers)}, **dict(zip(PLACE[1:], places.T)), **{c: _lists(parts[c]) for c in columns}}
 
-    return map_rows(blocks.select(*PLACE, *columns), BLOCK + "".join(f", {c} array<double>" for c in columns), run, rows=32)
+    return map_rows(blocks.select(*PLACE, *numbers, *columns), BLOCK + "".join(f", {c} int" for c in numbers) + "".join(f", {c} array<double>" for c in columns), run, rows=32)
 
 
 def _node(part: str | Column, prefix: str = "") -> Column:
@@ -221,7 +222,7 @@ def cleaned_filled(blocks: DataFrame, threshold: float, column: str, edge: int)
 # distances ---------------------------------------------------------------------------------------
 
 STEPS = [s for s in product((-1, 0, 1), repeat=3) if any(s)]
-SHELL = "dz int, dy int, dx int, dist array<double>, lab array<bigint>, image array<double>"
+BITS = 1 << np.arange(len(STEPS), dtype=np.int32)
 
 
 def _rows(edge: int) -> int:
@@ -229,80 +230,121 @@ def _rows(edge: int) -> int:
     return max(16, (1 << 18) // (edge + 2) ** 3)
 
 
-def _shells(state: DataFrame, edge: int) -> DataFrame:
-    """What changed blocks tell the blocks around them: the layer of voxels next to each."""
+def _side(step: tuple[int, ...], shape: tuple[int, ...] | None = None) -> tuple[slice, ...]:
+    """The layer of a block's voxels towards a step; with the block's shape, the layer behind it in the padded block."""
+    if shape is None:
+        return tuple(slice(-1, None) if s > 0 else slice(0, 1) if s < 0 else slice(None) for s in step)
+    return tuple(slice(1, -1) if s == 0 else slice(n + 1, n + 2) if s > 0 else slice(0, 1) for s, n in zip(step, shape))
+
+
+def _shells(state: DataFrame, edge: int, told: tuple[str, ...]) -> DataFrame:
+    """What blocks tell the blocks around them, to the steps in ``tells``: the layer of voxels next to each."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        origins = np.stack([batch.column(k).to_numpy() for k in GRID[1:]], 1)
-        rows, places, parts = [np.empty(0, int)], [np.empty((0, 6), int)], {c: [] for c in ("dist", "lab", "image")}
+        origins, tells = np.stack([batch.column(k).to_numpy() for k in GRID[1:]], 1), batch.column("tells").to_numpy()
+        rows, places, parts = [np.empty(0, int)], [np.empty((0, 6), int)], {c: [] for c in told}
         for at in _alike(batch, []):
             shape = _shape(batch, int(at[0]))
             data = {c: _stack(batch.column(c), at, shape) for c in parts}
-            for step in STEPS:
-                if any(s > 0 and n < edge for s, n in zip(step, shape)):
-                    continue  # the volume ends there
-                tell = np.flatnonzero(((origins[at] != 0) | (np.array(step) >= 0)).all(1))
-                part = tuple(slice(-1, None) if s > 0 else slice(0, 1) if s < 0 else slice(None) for s in step)
+            for step, bit in zip(STEPS, BITS):
+                tell = np.flatnonzero(tells[at] & bit)
                 rows.append(at[tell])
                 places.append(np.concatenate([origins[at[tell]] // edge * edge + np.array(step) * edge, np.tile([-s for s in step], (len(tell), 1))], 1))
                 for c in parts:
-                    parts[c].append(data[c][(tell, *part)])
+                    parts[c].append(data[c][(tell, *_side(step))])
         targets = np.concatenate(places).astype(np.int32)
         return {"vec_id": batch.column("vec_id").take(pa.array(np.concatenate(rows))), **dict(zip((*GRID[1:], "dz", "dy", "dx"), targets.T)), **{c: _lists(p, np.int64 if c == "lab" else float) for c, p in parts.items()}}
 
-    return map_rows(state.where("changed").select(*PLACE, "dist", "lab", "image"), f"vec_id bigint, z0 int, y0 int, x0 int, {SHELL}", run, rows=_rows(edge))
+    schema = "vec_id bigint, z0 int, y0 int, x0 int, dz int, dy int, dx int" + "".join(f", {c} array<{'bigint' if c == 'lab' else 'double'}>" for c in told)
+    return map_rows(state.where("tells <> 0").select(*PLACE, "tells", *told), schema, run, rows=_rows(edge))
+
+
+def _tells(dist: np.ndarray, lab: np.ndarray, new: np.ndarray, image: np.ndarray | None, lam: float | None, told: bool) -> np.ndarray:
+    """Bits of the steps, for padded blocks, behind which a ``new`` voxel betters what is known there; all is better than what was not told."""
+    core, shape = (slice(None), *[slice(1, -1)] * 3), tuple(n - 2 for n in new.shape[1:])
+    if not told:
+        return sum((new[core][(slice(None), *_side(s))].any((1, 2, 3)) * b for s, b in zip(STEPS, BITS)), np.zeros(len(new), np.int32))
+    better, start = np.zeros(new.shape, bool), np.where(new, dist, np.inf)
+    for step in arrays.CUBE:
+        d, l = arrays.shifted(start, step, np.inf), arrays.shifted(lab, step, 0)
+        d += arrays.step_cost(step, lam, None if image is None else arrays.shifted(image, step, 0.0) - image)
+        better |= arrays.is_better(d, l, dist, lab)
+    return sum((better[(slice(None), *_side(s, shape))].any((1, 2, 3)) * b for s, b in zip(STEPS, BITS)), np.zeros(len(new), np.int32))
 
 
 def settle(blocks: DataFrame, edge: int, seeds: str, image: str | None = None, where: str | None = None, lam: float | None = None, max_rounds: int = 10_000) -> DataFrame:
     """Blocks with ``dist`` and ``lab`` of ``arrays.propagate`` over the whole volume; costs by ``lam`` if given, else by length.
 
     A round relaxes the blocks that were told something, those of one shape at once; the number of rounds is that of
-    the blocks which the longest way goes through.  Shells are merged with blocks, never broadcast: Spark takes them for
-    smaller than they are.  Raises if distances still change after ``max_rounds``.
+    the blocks which the longest way goes through.  A block tells those of its neighbours, inside of the volume, which it
+    may better by what they told it.  Shells are merged with blocks, never broadcast: Spark takes them for smaller than
+    they are.  Raises if distances still change after ``max_rounds``.
     """
-    rows = cut(blocks, edge, tuple(dict.fromkeys(c for c in (seeds, image, where) if c)))
+    ends = {f"{e}{c}": f(F.col(f"{c}0") + (F.col(f"n{c}") if e == "h" else 0)) for e, f in (("l", F.min), ("h", F.max)) for c in AT}
+    ends = blocks.groupBy("vec_id").agg(*(v.alias(k) for k, v in ends.items()))
+    limits = tuple(ends.columns[1:])
+    rows = cut(blocks.join(ends.hint("merge"), "vec_id"), edge, tuple(dict.fromkeys(c for c in (seeds, image, where) if c)), limits)
+    fixed = {k: v for k, v in {"image": image, "mask": where}.items() if v}
+    told = ("dist", "lab", *(["image"] if image else []))
     state = rows.select(
-        *PLACE, F.transform(seeds, lambda x: F.when(x != 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("dist"), F.col(seeds).cast("array<bigint>").alias("lab"),
-        (F.col(image) if image else F.transform(seeds, lambda x: F.lit(0.0))).alias("image"), (F.col(where) if where else F.transform(seeds, lambda x: F.lit(1.0))).alias("mask"),
+        *PLACE, *limits, F.transform(seeds, lambda x: F.when(x != 0, F.lit(0.0)).otherwise(F.lit(float("inf")))).alias("dist"), F.col(seeds).cast("array<bigint>").alias("lab"),
+        *(F.col(v).alias(k) for k, v in fixed.items()),
     )
 
+    def around(batch: pa.RecordBatch) -> np.ndarray:
+        low, size, least, most = (np.stack([batch.column(k).to_numpy() for k in ks], 1) for ks in (GRID[1:], SIZES, limits[:3], limits[3:]))
+        there = [np.where(np.array(s) < 0, low > least, np.where(np.array(s) > 0, low + size < most, True)).all(1) for s in STEPS]
+        return (np.stack(there, 1) * BITS).sum(1, dtype=np.int32)
+
     def run(batch: pa.RecordBatch, first: bool = False) -> dict:
-        told = batch.column("shells")
-        owner, shells = np.repeat(np.arange(batch.num_rows), told.value_lengths().fill_null(0).to_numpy()), told.flatten()
-        steps = np.stack([shells.field(k).to_numpy(zero_copy_only=False) for k in ("dz", "dy", "dx")], 1)
-        heard = np.bincount(owner, minlength=batch.num_rows) > 0
-        order, parts, changed = [np.empty(0, int)], {"dist": [], "lab": []}, [np.empty(0, bool)]
-        core = (slice(None), *(slice(1, -1) for _ in range(3)))
+        n = batch.num_rows
+        steps, owner, shells = np.empty((0, 3), int), np.empty(0, int), None
+        if not first:
+            shells = batch.column("shells")
+            owner, shells = np.repeat(np.arange(n), shells.value_lengths().fill_null(0).to_numpy()), shells.flatten()
+            steps = np.stack([shells.field(k).to_numpy(zero_copy_only=False) for k in ("dz", "dy", "dx")], 1)
+        relax = np.full(n, True) if first else np.bincount(owner, minlength=n) > 0
+        near = around(batch) if first else batch.column("around").to_numpy()
+        order, parts, tells = [np.empty(0, int)], {"dist": [], "lab": []}, [np.empty(0, np.int32)]
+        core = (slice(None), *[slice(1, -1)] * 3)
+        pad = lambda a, e: np.pad(a, [(0, 0), *[(1, 1)] * 3], constant_values=e)
         for at in _alike(batch, []):
             shape = _shape(batch, int(at[0]))
-            place, now = np.full(batch.num_rows, -1), np.zeros(len(at), bool)
-            place[at] = np.arange(len(at))
-            dist, lab, img, mask = (np.pad(_stack(batch.column(c), at, shape), [(0, 0), *[(1, 1)] * 3], constant_values=e) for c, e in (("dist", np.inf), ("lab", 0), ("image", 0), ("mask", 0)))
-            own = place[owner] >= 0
-            for step in np.unique(steps[own], axis=0).tolist():
-                some = np.flatnonzero(own & (steps == step).all(1))
-                side = tuple(slice(1, -1) if s == 0 else slice(n + 1, n + 2) if s > 0 else slice(0, 1) for s, n in zip(step, shape))
-                for a, k in ((dist, "dist"), (lab, "lab"), (img, "image")):
-                    a[(place[owner[some]], *side)] = _stack(shells.field(k), some, tuple(1 if s else n for s, n in zip(step, shape)))
-            on = np.flatnonzero(first | heard[at])
-            image_of = img[on]
-            cost = (lambda s: np.sqrt(sum(map(abs, s)))) if lam is None else arrays.geodesic_cost(image_of, lam)
-            new = arrays.propagate(lab[on], cost, where=mask[on], start=dist[on])
-            now[on] = ((new[0] != dist[on]) | (new[1] != lab[on]))[core].any((1, 2, 3))
-            dist[on], lab[on] = new
+            old = {k: _stack(batch.column(k), at, shape) for k in parts}
+            old["lab"] = old["lab"].astype(np.int64)
+            on, tell = np.flatnonzero(relax[at]), np.zeros(len(at), np.int32)
+            if len(on):
+                dist, lab = pad(old["dist"][on], np.inf), pad(old["lab"][on], 0)
+                img = pad(_stack(batch.column("image"), at[on], shape), 0.0) if image else None
+                ok = _stack(batch.column("mask"), at[on], shape) != 0 if where else np.ones((len(on), *shape), bool)
+                place = np.full(n, -1)
+                place[at[on]] = np.arange(len(on))
+                own = place[owner] >= 0
+                for step in np.unique(steps[own], axis=0).tolist():
+                    some, side = np.flatnonzero(own & (steps == step).all(1)), _side(step, shape)
+                    for a, k in ((dist, "dist"), (lab, "lab"), *([(img, "image")] if image else [])):
+                        a[(place[owner[some]], *side)] = _stack(shells.field(k), some, tuple(1 if s else m for s, m in zip(step, shape)))
+                arrays.relax_inside(dist, lab, ok, img, lam)
+                new = np.zeros(dist.shape, bool)
+                new[core] = lab[core] != 0 if first else (dist[core] != old["dist"][on]) | (lab[core] != old["lab"][on])
+                old["dist"][on], old["lab"][on] = dist[core], lab[core]
+                news = np.flatnonzero(new.any((1, 2, 3)))
+                if len(news):
+                    tell[on[news]] = _tells(dist[news], lab[news], new[news], img[news] if image else None, lam, not first)
             order.append(at)
-            changed.append(now)
-            parts["dist"].append(dist[core])
-            parts["lab"].append(lab[core])
-        rows = batch.take(pa.array(np.concatenate(order)))
-        return {**{k: rows.column(k) for k in (*PLACE, "image", "mask")}, "dist": _lists(parts["dist"]), "lab": _lists(parts["lab"], np.int64), "changed": np.concatenate(changed)}
-
-    schema = f"{BLOCK}, image array<double>, mask array<double>, dist array<double>, lab array<bigint>, changed boolean"
-    empty = F.lit(None).cast(f"array<struct<{SHELL.replace(' int', ': int').replace(' array', ': array')}>>")
-    state = written(map_rows(state.withColumn("shells", empty), schema, partial(run, first=True), rows=_rows(edge)), "settle").withColumn("changed", F.lit(True))
-    for _ in range(max_rounds):
-        told = _shells(state, edge).groupBy(*GRID).agg(F.collect_list(F.struct("dz", "dy", "dx", "dist", "lab", "image")).alias("shells"))
-        state = written(map_rows(state.drop("changed").join(told.hint("merge"), GRID, "left"), schema, run, rows=_rows(edge)), "settle")
-        if state.where("changed").isEmpty():
+            tells.append(tell)
+            for k, p in parts.items():
+                p.append(old[k])
+        order, tells = np.concatenate(order), np.concatenate(tells)
+        rows = batch.take(pa.array(order))
+        return {**{k: rows.column(k) for k in (*PLACE, *fixed)}, "around": near[order], "dist": _lists(parts["dist"]), "lab": _lists(parts["lab"], np.int64), "tells": tells & near[order]}
+
+    schema = f"{BLOCK}, around int, " + "".join(f"{k} array<double>, " for k in fixed) + "dist array<double>, lab array<bigint>, tells int"
+    state = written(map_rows(state, schema, partial(run, first=True), rows=_rows(edge)), "settle")
+    for n in range(max_rounds + 1):
+        if state.where("tells <> 0").isEmpty():
             return state
+        if n < max_rounds:
+            shells = _shells(state, edge, told).groupBy(*GRID).agg(F.collect_list(F.struct("dz", "dy", "dx", *told)).alias("shells"))
+            state = written(map_rows(state.drop("tells").join(shells.hint("merge"), GRID, "left"), schema, run, rows=_rows(edge)), "settle")
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")

@@ -320,3 +320,19 @@ def test_shells_are_not_broadcast(spark, monkeypatch):
     seeds[0, 0, 0] = 1
     regions.chamfer(whole_block(spark, seeds=seeds), "seeds", edge=2).collect()
     assert len(plans) > 2 and all("Broadcast" not in p for p in plans)
+
+
+def shells_told(spark, monkeypatch, query, **columns):
+    """What a query on one whole volume gives by blocks of two, and the origins of the blocks that were told something, by round."""
+    from stratavox.operators import tiled
+
+    told, real = [], tiled._shells
+    monkeypatch.setattr(tiled, "_shells", lambda *a: told.append([(r.z0, r.y0, r.x0) for r in real(*a).select("z0", "y0", "x0").collect()]) or real(*a))
+    shape = next(iter(columns.values())).shape
+    return array(to_voxels(query(whole_block(spark, **columns), 2), value="v"), shape, "v"), told
+
+
+def test_chamfer_shells_stay_in_the_volume(spark, monkeypatch):
+    """No shell is made for a block that does not exist, also where a volume ends at a multiple of the edge."""
+    got, told = shells_told(spark, monkeypatch, REGIONS["chamfer"], seeds=np.ones((4, 4, 4)))
+    assert (got == 0).all() and len(told) == 1 and len(told[0]) == 56 and set(told[0]) == {(z, y, x) for z in (0, 2) for y in (0, 2) for x in (0, 2)}
