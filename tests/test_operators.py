@@ -332,6 +332,11 @@ def shells_told(spark, monkeypatch, query, **columns):
     return array(to_voxels(query(whole_block(spark, **columns), 2), value="v"), shape, "v"), told
 
 
+def test_segments_without_seeds_tell_nothing(spark, monkeypatch):
+    got, told = shells_told(spark, monkeypatch, REGIONS["segment"], seeds=np.zeros((4, 4, 4)), data=np.ones((4, 4, 4)))
+    assert (got == 0).all() and not told
+
+
 def test_chamfer_shells_stay_in_the_volume(spark, monkeypatch):
     """No shell is made for a block that does not exist, also where a volume ends at a multiple of the edge."""
     got, told = shells_told(spark, monkeypatch, REGIONS["chamfer"], seeds=np.ones((4, 4, 4)))
