@@ -332,6 +332,29 @@ def shells_told(spark, monkeypatch, query, **columns):
     return array(to_voxels(query(whole_block(spark, **columns), 2), value="v"), shape, "v"), told
 
 
+def test_nearest_blocks_tell_those_they_may_better(spark, monkeypatch):
+    """The seed's block tells the seven others, these each other but not the seed's block, and all is settled."""
+    seeds = np.zeros((4, 4, 4))
+    seeds[0, 0, 0] = 2
+    got, told = shells_told(spark, monkeypatch, REGIONS["nearest"], seeds=seeds, mask=np.ones(seeds.shape))
+    assert (got == 2).all() and [len(t) for t in told] == [7, 42] and (0, 0, 0) not in told[0] + told[1]
+
+
+def test_rims_are_read_and_not_relaxed():
+    """Blocks with a rim of told distances: the same as relaxing the rim along and holding it."""
+    r = np.random.default_rng(13)
+    shape = (50, 5, 4, 6)
+    lab, image, where = r.integers(1, 4, shape) * (r.random(shape) < 0.3), r.random(shape), np.zeros(shape, bool)
+    core = (slice(None), *[slice(1, -1)] * 3)
+    where[core] = r.random(where[core].shape) < 0.8
+    start = np.where(lab != 0, r.random(shape), np.inf)
+    for lam, cost in ((None, lambda s: np.sqrt(sum(map(abs, s)))), (0.4, ar.geodesic_cost(image, 0.4))):
+        want = ar.propagate(lab, cost, where=where, start=start)
+        dist, got = start.copy(), lab.copy()
+        ar.relax_inside(dist, got, where[core], image, lam)
+        assert np.allclose(dist, want[0]) and (got == want[1]).all()
+
+
 def test_segments_without_seeds_tell_nothing(spark, monkeypatch):
     got, told = shells_told(spark, monkeypatch, REGIONS["segment"], seeds=np.zeros((4, 4, 4)), data=np.ones((4, 4, 4)))
     assert (got == 0).all() and not told
