@@ -865,6 +865,22 @@ def test_groups(spark, seed, width):
     assert all(x.kept == (x.doc_id == x.component_id) for x in got)
 
 
+@pytest.mark.parametrize("most, kind", [(1 << 26, "bigint"), (1 << 15, "int")])
+def test_sets_of_nodes_without_a_shuffle_of_texts(spark, monkeypatch, most, kind):
+    monkeypatch.setattr(neardup, "stored", lambda df, name: df)
+    monkeypatch.setattr(neardup, "MARKS", most)
+    docs = spark.range(-10_000, 30_000).selectExpr(f"cast(id as {kind}) as doc_id", "concat('t ', id, ' a b ', id % 10, ' c') as text").unionByName(spark.sql(f"select cast(null as {kind}) as doc_id, 'none' as text"))
+    nodes = spark.range(-10_000, 30_000, 4).selectExpr("id as nid")
+    got = neardup.set_table(docs, nodes, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    found = {r.nid: r.set for r in got.collect()}
+    wanted = range(-10_000, 30_000, 4)
+    assert None not in found and found.keys() >= set(wanted)
+    assert all(found[i] == neardup.shingle_set(f"t {i} a b {abs(i) % 10 * (1 if i > 0 else -1)} c", 4).view(np.int64).tolist() for i in wanted[::97])
+    assert len(found) < (1.15 * len(wanted) if most > 1 << 15 else 0.6 * 40_000)
+
+
 def test_registers_estimate_jaccard():
     r = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
